@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lastrum.llm import exact_dedup, mixing
+from lastrum.llm import exact_dedup, mixing, near_dedup
 from lastrum.llm.shared import table
 
 
@@ -12,6 +12,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find(table(spark, sf_dir, "documents")).drop("rid")
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.find(table(spark, sf_dir, "documents"), width=3, percent=85).drop("print")
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
@@ -29,5 +33,6 @@ ORACLES = {
 
 QUERIES = {
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_near_dedup": op9_near_dedup,
     "op10_mix_sources": op10_mix_sources,
 }
