@@ -4,10 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lastrum.llm import exact_dedup, mixing, near_dedup
+from lastrum.llm import decontaminate, exact_dedup, mixing, near_dedup, quality, toxicity
 from lastrum.llm.shared import table
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.judge(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find(table(spark, sf_dir, "documents")).drop("rid")
 
@@ -32,6 +46,9 @@ ORACLES = {
 }
 
 QUERIES = {
+    "op2_quality": op2_quality,
+    "op5_toxicity": op5_toxicity,
+    "op6_decontaminate": op6_decontaminate,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_near_dedup": op9_near_dedup,
     "op10_mix_sources": op10_mix_sources,
