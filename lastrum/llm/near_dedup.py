@@ -1,10 +1,12 @@
 """MinHash near-deduplication: universal hash minima, banding, signature verification, exact verification, star components.
 
 Documents with the same set of shingles form a class, and one node stands for it, so exact copies cost nothing further. Nodes
-whose minima agree in a band meet in a bucket. In each bucket a centre is compared with all others; then only pairs that are
-in different components are left to compare. Small remainders are compared in full, large ones by further centres, until no
-bucket holds an unchecked pair between components: no link is lost to a cap, and no bucket ever emits all its pairs at once.
-Each pair is first judged by its signatures (six standard errors below the threshold) and then on full shingle sets.
+whose minima agree in a band meet in a bucket. In each bucket a centre is compared with all others; after that most buckets
+are of one component. The nodes of the rest meet at their rarest shingles instead: two linked sets share one of them, while
+variants that are too far from each other seldom do. Only pairs between components are compared, at once where they are few
+for each member, else by further centres, until no key holds an unchecked pair between components: no link is lost to a cap,
+and no group ever emits all its pairs. Each pair is first judged by its signatures (six standard errors below the threshold)
+and then on full shingle sets.
 
 Defined results: a null or empty text has no shingles and is linked with nothing. A text with fewer words than a shingle is
 one shingle. A null doc_id is linked with nothing, has a null component and is kept. Each row is judged by its own text, so a
@@ -22,13 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lastrum.llm.components import components
-from lastrum.llm.shared import HEAVY, drop, save, small
+from lastrum.llm.shared import HEAVY, save, small
 from lastrum.llm.words import chunks, mixed, shingles
 
 #: 32 bands of 4 minima: a pair at a similarity of 0.85 is missed with a chance of 6e-11, at 0.8 of 5e-8.
 MINIMA, ROWS = 128, 4
-#: A bucket with at most so many unchecked pairs a member between its components has them compared at once.
-PAIRS_EACH = 64
+#: A key with at most so many unchecked pairs a member between its components has them compared at once.
+PAIRS_EACH = 256
+#: Hash cells in which the rarity of shingles is counted; a power of 2.
+CELLS = 1 << 20
 STANDARD_ERRORS = 6
 
 
@@ -112,48 +116,90 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", shared.alias("i"), (F.size("x") + F.size("y")).alias("t")).where(F.col("i") * 100 >= (F.col("t") - F.col("i")) * percent).select("a", "b").distinct()
 
 
+def _prefixes(cells: np.ndarray, percent: int):
+    """The rarest shingles of each set, so many that two linked sets share one of them: (key, node, at, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list = [[], [], [], []]
+            for node, members in zip(batch.column("node").to_pylist(), batch.column("members"), strict=True):
+                x = members.values.to_numpy(zero_copy_only=False)
+                often = cells[x & (len(cells) - 1)]
+                length = len(x) - -(-len(x) * percent // 100) + 1
+                first = np.lexsort((x, often))[:length]
+                at = np.flatnonzero(often[first] > 1)
+                for column, values in zip(out, (x[first][at], np.full(len(at), node), at, np.full(len(at), len(x))), strict=True):
+                    column.append(values.astype(np.int64))
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["key", "node", "at", "n"])
+
+    return run
+
+
+def prefix_members(sets: DataFrame, percent: int) -> DataFrame:
+    """(key, node, at, n): the shingles by which linked sets meet, rarest first. Any order of the shingles finds every link; rarity
+    is counted in a fixed number of hash cells over all the sets, so what the driver gathers is bounded."""
+    counts = sets.select(F.explode("members").alias("x")).groupBy(F.col("x").bitwiseAND(F.lit(CELLS - 1)).alias("cell")).agg(F.count("*").alias("c")).toArrow()
+    cells = np.zeros(CELLS, np.int64)
+    cells[counts.column("cell").to_numpy()] = counts.column("c").to_numpy()
+    return sets.select("node", "members").mapInArrow(_prefixes(cells, percent), "key long, node long, at long, n long")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+
+
+def _ordered(x, y) -> list:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
 def link_components(docs: DataFrame, nodes: DataFrame, width: int, percent: int, minima: int = MINIMA, rows: int = ROWS) -> DataFrame:
     """(node, component) of the nodes(node, print, minima) that have a link."""
     threshold = percent / 100
     keys = F.transform(F.sequence(F.lit(0), F.lit(minima // rows - 1)), lambda j: F.xxhash64(j, F.substring("minima", j * (4 * rows) + 1, F.lit(4 * rows))))
     bands = nodes.select("node", F.explode(keys).alias("key"))
-    shared = save(bands.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    members = save(bands.join(small(shared.select("key")), "key").select("key", "node"), "members")
-    pairs = members.join(small(shared.select("key", "centre")), "key").where("node <> centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
-    members = members.join(small(shared.select("key", F.col("centre").alias("node"))), ["key", "node"], "left_anti")
-    # the centres of a bucket are compared with all its members, so they leave it; their links count in the components below
-    links = sets = done = None
+    buckets = save(bands.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    members = save(bands.join(small(buckets.select("key", "centre")), "key").where("node <> centre").select("key", "centre", "node"), "members")
+    # each bucket's centre against its other members
+    likely = save(_checked(members.select(*_ordered("centre", "node")).distinct(), nodes, minima, threshold), "likely")
+    wanted = save(nodes.select("node", "print").join(small(_ends(likely)), "node", "left_semi"), "wanted")
+    sets = save(shingle_sets(docs, wanted, width), "sets")
+    links = save(_linked(likely, sets, percent), "links")
+    found = save(components(links), "components")
+    # buckets whose other members are still in more than one component: their links are found by rare shingles
+    placed = members.join(small(found), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    apart = placed.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("m")).where("l < m").select("key")
+    undecided = save(placed.join(small(save(apart, "apart")), "key", "left_semi").select("node").distinct(), "undecided")
+    more = save(nodes.select("node", "print").join(small(undecided), "node", "left_semi").join(small(wanted.select("node")), "node", "left_anti"), "wanted")
+    if not more.isEmpty():
+        sets = sets.unionAll(save(shingle_sets(docs, more, width), "sets"))
+    members = save(prefix_members(sets.join(small(undecided), "node", "left_semi"), percent), "prefixes")
+    done = likely
     while True:
-        likely = save(_checked(pairs, nodes, minima, threshold), "likely")
-        tried = likely.select("a", "b")
-        ends = likely.select(F.col("a").alias("node")).unionAll(likely.select(F.col("b").alias("node"))).distinct()
-        if sets is not None:
-            ends = ends.join(sets.select("node").distinct(), "node", "left_anti")
-        wanted = save(nodes.select("node", "print").join(small(ends), "node", "left_semi"), "wanted")
-        if not wanted.isEmpty():
-            more = save(shingle_sets(docs, wanted, width), "sets")
-            sets = more if sets is None else sets.unionAll(more)
-        new = save(_linked(likely, sets, percent), "links") if sets is not None else likely
-        links = new if links is None else links.unionAll(new)
-        done = tried if done is None else done.unionAll(tried)
-        found = save(components(links), "components")
-        # what is still open: buckets whose members are in more than one component
-        placed = members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        placed = members.join(small(found), "node", "left").select("key", "node", "at", "n", F.coalesce("component", "node").alias("component"))
         counts = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
-        open_keys = counts.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("k")).where("k > 1")
-        open_keys = open_keys.select("key", ((F.col("n") * F.col("n") - F.col("q")) / 2 <= F.col("n") * PAIRS_EACH).alias("all"))
-        left = save(placed.join(small(save(open_keys, "open")), "key"), "placed")
+        open_keys = counts.groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("k")).where("k > 1")
+        open_keys = save(open_keys.select("key", ((F.col("s") * F.col("s") - F.col("q")) / 2 <= F.col("s") * PAIRS_EACH).alias("all")), "open")
+        left = save(placed.join(small(open_keys), "key"), "placed")
         if left.isEmpty():
             return found
-        some = left.where("all")
-        crossed = some.alias("s").join(some.alias("t"), (F.col("s.key") == F.col("t.key")) & (F.col("s.component") < F.col("t.component"))).select(F.least("s.node", "t.node").alias("a"), F.greatest("s.node", "t.node").alias("b"))
-        rest = left.where("not all")
-        centres = rest.groupBy("key").agg(F.min(F.struct("node", "component")).alias("m")).select("key", F.col("m.node").alias("centre"), F.col("m.component").alias("of"))
-        starred = rest.join(centres, "key").where(F.col("component") != F.col("of")).select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"))
+        some, rest = left.where("all"), left.where("not all")
+        # a linked pair meets at a shingle after which enough of both sets is left
+        x, y = F.least(F.col("s.n") - F.col("s.at"), F.col("t.n") - F.col("t.at")), F.col("s.n") + F.col("t.n")
+        meets = (F.col("s.key") == F.col("t.key")) & (F.col("s.component") < F.col("t.component")) & (x * (100 + percent) >= y * percent)
+        crossed = some.alias("s").join(some.alias("t"), meets).select(*_ordered(F.col("s.node"), F.col("t.node")))
+        centres = rest.groupBy("key").agg(F.min("node").alias("centre"))
+        starred = rest.join(centres, "key").join(small(found).select(F.col("node").alias("centre"), F.col("component").alias("of")), "centre", "left").where(F.col("component") != F.coalesce("of", "centre")).select(*_ordered("centre", "node"))
         pairs = save(crossed.unionAll(starred).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
-        members = save(rest.join(centres.select("key", F.col("centre").alias("node")), ["key", "node"], "left_anti").select("key", "node"), "members")
+        members = save(rest.join(centres, "key").where("node <> centre").select("key", "node", "at", "n"), "members")
         if pairs.isEmpty() and members.isEmpty():
             return found
+        likely = save(_checked(pairs, nodes, minima, threshold), "likely")
+        new = save(_linked(likely, sets, percent), "links")
+        done = save(done.unionAll(pairs), "done")
+        if not new.isEmpty():
+            links = save(links.unionAll(new), "links")
+            found = save(components(links), "components")
 
 
 def find(docs: DataFrame, width: int = 5, percent: int = 80, minima: int = MINIMA, rows: int = ROWS) -> DataFrame:

@@ -4,15 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lastrum.llm import decontaminate, exact_dedup, mixing, near_dedup, quality, toxicity
+from lastrum.llm import decontaminate, exact_dedup, html_text, licenses, mixing, near_dedup, quality, secrets, toxicity, url_filter
 from lastrum.llm.shared import table
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.judge(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -26,6 +38,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find(table(spark, sf_dir, "documents")).drop("rid")
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(table(spark, sf_dir, "pages"), url_filter.entries(spark))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "listed")
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.find(table(spark, sf_dir, "documents"), width=3, percent=85).drop("print")
 
@@ -37,7 +54,19 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: A-Z to a-z only, in DuckDB.
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_FITS = {rule: f"(host = '{rule[1]}' OR ends_with(host, '.{rule[1]}')) AND starts_with(path, '{rule[2]}')" for rule in url_filter.RULES}
+_LONGEST = sorted(url_filter.RULES, key=lambda r: -len(r[1] + r[2]))
+
 ORACLES = {
+    "op8_url_filter": f"""
+        WITH r AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+        p AS (SELECT page_id, translate(coalesce(regexp_extract(rest, '^([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                     coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM r),
+        q AS (SELECT *, (host = 'spam-farm.example.com' OR ends_with(host, '.spam-farm.example.com')) AS listed,
+                     CASE {" ".join(f"WHEN {_FITS[x]} THEN '{x[1]}{x[2]}'" for x in _LONGEST)} END AS rule,
+                     CASE {" ".join(f"WHEN {_FITS[x]} THEN '{x[0]}'" for x in _LONGEST)} END AS said FROM p)
+        SELECT page_id, host, path, rule, coalesce(said, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed FROM q
+    """,
     "op7_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({LOWER}) AS text_sha256 FROM documents),
         g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
@@ -46,10 +75,14 @@ ORACLES = {
 }
 
 QUERIES = {
+    "op1_licenses": op1_licenses,
     "op2_quality": op2_quality,
+    "op3_secrets": op3_secrets,
+    "op4_html_text": op4_html_text,
     "op5_toxicity": op5_toxicity,
     "op6_decontaminate": op6_decontaminate,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_url_filter": op8_url_filter,
     "op9_near_dedup": op9_near_dedup,
     "op10_mix_sources": op10_mix_sources,
 }
