@@ -30,7 +30,7 @@ from lastrum.llm.words import chunks, mixed, shingles
 #: 32 bands of 4 minima: a pair at a similarity of 0.85 is missed with a chance of 6e-11, at 0.8 of 5e-8.
 MINIMA, ROWS = 128, 4
 #: A key with at most so many unchecked pairs a member between its components has them compared at once.
-PAIRS_EACH = 256
+PAIRS_EACH = 128
 #: Hash cells in which the rarity of shingles is counted; a power of 2.
 CELLS = 1 << 20
 STANDARD_ERRORS = 6
@@ -174,26 +174,34 @@ def link_components(docs: DataFrame, nodes: DataFrame, width: int, percent: int,
     if not more.isEmpty():
         sets = sets.unionAll(save(shingle_sets(docs, more, width), "sets"))
     members = save(prefix_members(sets.join(small(undecided), "node", "left_semi"), percent), "prefixes")
-    done = likely
+    done, turn = likely, 0
     while True:
-        placed = members.join(small(found), "node", "left").select("key", "node", "at", "n", F.coalesce("component", "node").alias("component"))
+        # a member whose rarer shingles leave too few for even the smallest set at its key has no link there
+        most = F.floor((F.col("n") - F.col("at")) * (100 + percent) / percent) - F.col("n")
+        least = members.groupBy("key").agg(F.min("n").alias("least"))
+        fits = members.join(least, "key").where(most >= F.col("least")).drop("least")
+        placed = fits.join(small(found), "node", "left").select("key", "node", "at", "n", F.coalesce("component", "node").alias("component"))
         counts = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
-        open_keys = counts.groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("k")).where("k > 1")
-        open_keys = save(open_keys.select("key", ((F.col("s") * F.col("s") - F.col("q")) / 2 <= F.col("s") * PAIRS_EACH).alias("all")), "open")
-        left = save(placed.join(small(open_keys), "key"), "placed")
+        keys = counts.groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("k"), F.max_by("component", "c").alias("largest")).where("k > 1")
+        keys = save(keys.select("key", "largest", "s", ((F.col("s") * F.col("s") - F.col("q")) / 2 <= F.col("s") * PAIRS_EACH).alias("all")), "open")
+        left = save(placed.join(small(keys), "key"), "placed")
         if left.isEmpty():
             return found
         some, rest = left.where("all"), left.where("not all")
         # a linked pair meets at a shingle after which enough of both sets is left
         x, y = F.least(F.col("s.n") - F.col("s.at"), F.col("t.n") - F.col("t.at")), F.col("s.n") + F.col("t.n")
-        meets = (F.col("s.key") == F.col("t.key")) & (F.col("s.component") < F.col("t.component")) & (x * (100 + percent) >= y * percent)
-        crossed = some.alias("s").join(some.alias("t"), meets).select(*_ordered(F.col("s.node"), F.col("t.node")))
-        centres = rest.groupBy("key").agg(F.min("node").alias("centre"))
-        starred = rest.join(centres, "key").join(small(found).select(F.col("node").alias("centre"), F.col("component").alias("of")), "centre", "left").where(F.col("component") != F.coalesce("of", "centre")).select(*_ordered("centre", "node"))
+        meets = (F.col("s.key") == F.col("t.key")) & (x * (100 + percent) >= y * percent)
+        crossed = some.alias("s").join(some.alias("t"), meets & (F.col("s.component") < F.col("t.component"))).select(*_ordered(F.col("s.node"), F.col("t.node")))
+        # about PAIRS_EACH centres of a large key, other ones in each round; those of its largest component need not be any
+        turn = turn + 1
+        centre = (F.col("component") != F.col("largest")) & (F.pmod(F.xxhash64("node", F.lit(turn)), F.greatest(F.floor(F.col("s") / PAIRS_EACH), F.lit(1))) == 0)
+        starred = rest.where(centre).alias("s").join(rest.alias("t"), meets & (F.col("s.component") != F.col("t.component"))).select(*_ordered(F.col("s.node"), F.col("t.node")))
         pairs = save(crossed.unionAll(starred).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
-        members = save(rest.join(centres, "key").where("node <> centre").select("key", "node", "at", "n"), "members")
-        if pairs.isEmpty() and members.isEmpty():
-            return found
+        members = save(rest.where(~centre).select("key", "node", "at", "n"), "members")
+        if pairs.isEmpty():
+            if members.isEmpty():
+                return found
+            continue
         likely = save(_checked(pairs, nodes, minima, threshold), "likely")
         new = save(_linked(likely, sets, percent), "links")
         done = save(done.unionAll(pairs), "done")
