@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from lastrum.llm.hashed import CACHE, SAMPLE_ROWS, SPACE, Features, batches, flat, held_out, sample, score, sigmoid
 
 FACTORS = 4
-STEMS = (4, 5, 6)
+STEMS = (3, 4, 5)
 #: Terms in fewer rows of the sample carry no weight, nor those whose rate differs between the classes by fewer standard errors.
-LEAST_ROWS, LEAST_ERRORS = 4, 3.0
+LEAST_ROWS, LEAST_ERRORS = 4, 4.0
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -60,7 +60,7 @@ class Model:
         return float(self.bias + self.weights[ids].sum() + 0.5 * (v.sum(axis=0) ** 2 - (v * v).sum(axis=0)).sum())
 
 
-def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 25, rate: float = 0.1, lasso: float = 1e-3, decay: float = 2e-2, factors: int = FACTORS, seed: int = 11) -> Model:
+def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 25, rate: float = 0.1, lasso: float = 2e-3, decay: float = 2e-2, factors: int = FACTORS, seed: int = 11) -> Model:
     """By Adagrad on the log loss, over the terms that pass a screen of their own; the lasso leaves weights without use at zero.
 
     Both keep noise out of long texts, in which pairs grow with the square of the terms."""
