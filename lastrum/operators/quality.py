@@ -104,7 +104,7 @@ def stratified(df: DataFrame, stratum: str, key: str, n: int, seed: int = 42) ->
     hashed = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     rows = df.withColumn("_h", hashed).join(quota, stratum).where(F.col("_h") <= (2 * F.col("_q") + 20) / F.col("_c"))
     place = F.row_number().over(Window.partitionBy(stratum).orderBy("_h", key))
-    return rows.withColumn("_k", place).where("_k <= _q").orderBy("_h", key).limit(n).drop("_h", "_c", "_t", "_q", "_k")
+    return rows.withColumn("_k", place).where("_k <= _q").orderBy("_k", "_h", key).limit(n).drop("_h", "_c", "_t", "_q", "_k")
 
 
 def rest_of_sample(df: DataFrame, sample: DataFrame, key: str) -> DataFrame:

@@ -109,10 +109,10 @@ class ContractReader(DataSourceReader):
         for page in range(partition.first, partition.last + 1):
             url = self.options["url"].format(state=partition.state, page=page, since=self.options.get("since", ""), until=self.options.get("until", ""))
             answer = get_json(url) or {}
+            if page > (answer.get("totalPaginas") or 0):
+                return
             for row in answer.get("data") or []:
                 yield partition.state, page, json.dumps(row, ensure_ascii=False)
-            if page >= (answer.get("totalPaginas") or 0):
-                return
 
 
 class ContractSource(DataSource):

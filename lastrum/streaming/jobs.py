@@ -21,8 +21,9 @@ def request_metrics(events: DataFrame, every: str = "1 hour", late: str = "10 mi
 LIMITED = "key string, ts timestamp, n_janela long, reset_em timestamp, permitido boolean"
 
 
-def rate_limit(requests: DataFrame, limit: int, seconds: float) -> DataFrame:
-    """Requests (key, ts) with n_janela, reset_em and permitido. A key's state is one count and one time; it goes after a quiet window."""
+def rate_limit(requests: DataFrame, limit: int, seconds: float, late: str = "10 minutes") -> DataFrame:
+    """Requests (key, ts) with n_janela, reset_em and permitido. A key's state is one count and one time; it goes when the watermark
+    passes the end of its window. Requests of a key that come in one batch are taken in order of time."""
     span = pd.Timedelta(seconds=seconds)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -31,20 +32,17 @@ def rate_limit(requests: DataFrame, limit: int, seconds: float) -> DataFrame:
             return
         count, reset = state.get if state.exists else (0, 0)
         reset_at = pd.Timestamp(reset, unit="us")
-        for batch in batches:
-            rows = []
-            for ts in batch["ts"].sort_values():
-                if count == 0 or ts >= reset_at:
-                    count, reset_at = 1, ts + span
-                else:
-                    count += 1
-                rows.append((key[0], ts, count, reset_at, count <= limit))
-            yield pd.DataFrame(rows, columns=["key", "ts", "n_janela", "reset_em", "permitido"])
-        state.update((count, reset_at.value // 1000))
-        state.setTimeoutDuration(int(seconds * 2000))
-
-    keyed = requests.select(F.col("key").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
-    return keyed.groupBy("key").applyInPandasWithState(run, LIMITED, "count long, reset long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        times = pd.concat([b["ts"] for b in batches]).sort_values()
+        rows = []
+        for ts in times:
+            count, reset_at = (1, ts + span) if count == 0 or ts >= reset_at else (count + 1, reset_at)
+            rows.append((key[0], ts, count, reset_at, count <= limit))
+        state.update((count, int(reset_at.timestamp() * 1_000_000)))
+        state.setTimeoutTimestamp(max(int(reset_at.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(rows, columns=["key", "ts", "n_janela", "reset_em", "permitido"])
+
+    keyed = requests.select(F.col("key").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
+    return keyed.groupBy("key").applyInPandasWithState(run, LIMITED, "count long, reset long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def ingest_pages(spark, landed: str, out: str, checkpoint: str):
