@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lastrum.llm.words import _power, mixed
+from lastrum.llm.words import _power, mixed, slices
 
 Q = 8
 #: Edits per character that a leaked passage may have.
@@ -166,7 +166,7 @@ def find(docs: DataFrame, items: DataFrame, q: int = Q, error: float = ERROR, mi
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 rows = [(d, *hit) for d, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) if text for hit in shared.value.hits(text)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["doc_id", "item_id", "start", "end", "edits"])
@@ -181,7 +181,7 @@ def clean(docs: DataFrame, items: DataFrame, q: int = Q, error: float = ERROR, m
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 yield batch.filter(pa.array([not (text and shared.value.hits(text)) for text in batch.column("text").to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lastrum.llm.words import slices
+
 #: Feature ids are below this.
 SPACE = 1 << 18
 #: Most labelled rows that a classifier is fitted on; the rows with the smallest hashes of doc_id.
 SAMPLE_ROWS = 20_000
 #: Entries of the word caches of a task; a full cache starts anew.
-CACHE = 1 << 18
+CACHE = 1 << 15
 
 Features = Callable[[str], tuple[np.ndarray, np.ndarray]]
 
@@ -33,7 +35,7 @@ def sample(docs: DataFrame, labels: DataFrame, grade: str, featurise: Callable[[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = featurise()
-        for batch in batches:
+        for batch in slices(batches):
             pairs = [of(text or "") for text in batch.column("text").to_pylist()]
             ids, values = pa.array([i.tobytes() for i, _ in pairs], pa.binary()), pa.array([v.tobytes() for _, v in pairs], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), ids, values], ["doc_id", "grade", "ids", "weights"])
@@ -48,7 +50,7 @@ def score(docs: DataFrame, featurise: Callable[[], Features], scores: Callable[[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = featurise()
-        for batch in batches:
+        for batch in slices(batches):
             raw = [float(scores(*of(text or ""))) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(raw, pa.float64())], ["doc_id", "raw"])
 

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lastrum.llm.hashed import CACHE, SAMPLE_ROWS, SPACE, Features, batches, flat, held_out, sample, score, sigmoid
+from lastrum.llm.words import slices
 
 _RUNS = re.compile(r"([A-Z]+)|([^\W\d_]+)|(\d+)|(.)\4*", re.S)
 
@@ -140,7 +141,7 @@ def select(docs: DataFrame, model: Model, at_least: int = 1) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, raw = featurise(), _raw(shared)
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([raw(*of(text or "")) >= threshold for text in batch.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lastrum.llm.words import slices
+
 KINDS = ("assign", "access", "hex", "guess")
 LEAST_COST = 8.0
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -93,7 +95,7 @@ def scan(docs: DataFrame, least_cost: float = LEAST_COST) -> DataFrame:
     """One row per document: doc_id, found (array of kind, start, end, by start, then kind)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans(text or "", least_cost)] for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))], ["doc_id", "found"])
 

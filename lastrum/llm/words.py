@@ -8,7 +8,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed at once; one longer text makes a chunk of its own.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+#: Rows of a batch that are held as Python objects at once.
+ROWS = 256
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -52,9 +54,16 @@ def word_hashes(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, mixed((sums[ends] - sums[starts]) * _power(_INVERSE, len(b))[starts] + (ends - starts).astype(np.uint64))
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows: Spark's batches hold 10,000 texts, too many to hold twice in each worker."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches, each with about size bytes of text; null texts are empty."""
-    for batch in batches:
+    for batch in slices(batches):
         texts = [x or b"" for x in batch.column(column).to_pylist()]
         at = total = 0
         for i, text in enumerate(texts):
