@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lastrum.functions import rules
+from lastrum.functions.numbers import fixed
 
 
 #: What stands between words of the search.
@@ -242,5 +243,5 @@ def truncated(text: Column | str, n: int) -> Column:
 
 
 def brl(value: Column | str) -> Column:
-    """R$ 1.234,56"""
-    return F.concat(F.lit("R$ "), F.translate(F.format_number(_col(value), 2), ",.", ".,"))
+    """R$ 1.234,56, rounded half up."""
+    return F.concat(F.lit("R$ "), F.translate(F.format_number(fixed(_col(value), 2), 2), ",.", ".,"))

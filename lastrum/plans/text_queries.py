@@ -194,10 +194,19 @@ def q_control_number(spark, sf_dir):
 
 @query(f"WITH {PRICES} SELECT item_id, concat('https://portal.example/', split_part(numero_controle, '-', 1), '/', CAST(year(data) AS VARCHAR), '/', split_part(split_part(numero_controle, '-', 3), '/', 1)) AS link, 'R$ ' || translate(format('{{:,.2f}}', preco), ',.', '.,') AS preco, CASE WHEN length(descricao) > 10 THEN left(descricao, 7) || '...' ELSE descricao END AS curta FROM prices WHERE round(preco * 1000) % 10 <> 5")
 def q_history_links(spark, sf_dir):
-    rows = prices(spark, sf_dir).where(fixed(F.col("preco") * 1000) % 10 != 5)
+    return _history(prices(spark, sf_dir).where(fixed(F.col("preco") * 1000) % 10 != 5))
+
+
+def _history(rows):
     return rows.select("item_id", pricing.history_link("numero_controle", "https://portal.example").alias("link"), text.brl("preco").alias("preco"), text.truncated("descricao", 10).alias("curta"))
 
 
+@query(f"WITH {PRICES} SELECT item_id, concat('https://portal.example/', split_part(numero_controle, '-', 1), '/', CAST(year(data) AS VARCHAR), '/', split_part(split_part(numero_controle, '-', 3), '/', 1)) AS link, 'R$ ' || translate(format('{{:,.2f}}', round(preco, 2)), ',.', '.,') AS preco, CASE WHEN length(descricao) > 10 THEN left(descricao, 7) || '...' ELSE descricao END AS curta FROM prices")
+def q_history_links_all(spark, sf_dir):
+    """q_history_links over every price, also those midway between two cents."""
+    return _history(prices(spark, sf_dir))
+
+
 # --- duplicates, sources and samples
 
 _HASHED = f"{PRICES}, h AS (SELECT *, floor(preco / 100) * 100 AS faixa FROM prices WHERE processado)"
