@@ -86,7 +86,7 @@ def shingles(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     bounds = np.concatenate(([0], np.searchsorted(starts, ends)))
     n = np.diff(bounds)
     runs = np.zeros(max(0, len(words) - width + 1), np.uint64)
-    for k in range(width):
+    for k in range(width if len(runs) else 0):
         runs += words[k : len(words) - width + 1 + k] * np.uint64(2 * k + 0xD6E8FEB86659FD93)
     runs = mixed(runs)
     found = []
