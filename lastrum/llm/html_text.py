@@ -2,7 +2,9 @@
 
 A small helper in the tasks cuts a page into blocks and measures them; the rules run in Spark. First pass: each block is good,
 bad, near good or short by its length, link density and share of stop words. Blocks in menus, forms, adverts, comments and
-other furniture are bad; blocks within an article element are good unless they are mostly links. Second pass: short and near
+other furniture are bad; blocks within an article element are good unless they are mostly links. Furniture around an article does
+not make it bad (a form or a div named "has-sidebar" around the page's body, an aside that is never closed), but for hidden
+elements, comments, and menus, asides and footers that are closed. Second pass: short and near
 good blocks take the label of their nearest decided neighbours: good between good ones, bad between bad ones, and between a
 good and a bad one near good blocks are good and short ones bad.
 
@@ -39,27 +41,44 @@ notice alert newsletter subscribe signup sidebar menu nav navbar navigation brea
 comments reply replies disqus social share sharing related recommended popup modal overlay widget toolbar pagination pager
 copyright login search""".split())
 _LANDMARKS = frozenset(("article", "main"))
+#: Furniture that makes an article within it bad too, where the element is closed.
+_APART = frozenset("nav footer aside menu dialog select button head".split())
+_COMMENTS = ("comment", "reply", "replies", "disqus")
+#: Kinds of elements: no furniture, furniture that an article within it overrules, the same where it is not closed, and furniture that no article overrules.
+PLAIN, AROUND, CLOSED, ALWAYS = range(4)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?:{'|'.join(SILENT)})\b[^>]*/>|<({'|'.join(SILENT)})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+|<)", re.S | re.I)
 _ATTRIBUTES = re.compile(r"\b(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def _is_furniture(tag: str, attributes: str, in_landmark: bool) -> bool:
-    if tag in FURNITURE or (tag == "header" and not in_landmark):
-        return True
+def _furniture(tag: str, attributes: str, in_landmark: bool) -> int:
+    kind = CLOSED if tag in _APART else AROUND if tag in FURNITURE or (tag == "header" and not in_landmark) else PLAIN
     if not attributes or tag in ("html", "body", "main"):
-        return False
+        return kind
     for m in _ATTRIBUTES.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id", "role"):
             named = NAMES.intersection(re.split(r"[^a-z0-9]+", value))
             named = named & {"comment", "comments", "reply", "replies"} if tag == "article" else named - {"header"} if in_landmark else named
-            if named or value in ("navigation", "contentinfo", "complementary"):
-                return True
+            if any(x.startswith(_COMMENTS) for x in value.split()) and named:
+                return ALWAYS
+            if value in ("navigation", "contentinfo", "complementary"):
+                kind = max(kind, CLOSED)
+            elif named:
+                kind = max(kind, AROUND)
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
-    return False
+            return ALWAYS
+    return kind
+
+
+def _is_bad(within: tuple[list, ...]) -> bool:
+    """Whether furniture holds a block; within: the open elements with their kinds and whether each was closed later.
+
+    Around the outermost article, else the innermost main element, only some furniture counts."""
+    tags = [x[0] for x in within]
+    at = tags.index("article") if "article" in tags else max((i for i, t in enumerate(tags) if t == "main"), default=0)
+    return any(kind == ALWAYS or (kind == CLOSED and closed) or (kind != PLAIN and i >= at) for i, (_, kind, closed) in enumerate(within))
 
 
 def blocks(page: str) -> list[tuple[str, int, int, int, bool, bool]]:
@@ -67,14 +86,14 @@ def blocks(page: str) -> list[tuple[str, int, int, int, bool, bool]]:
     found: list = []
     parts: list[str] = []
     linked = links = 0
-    open_: list[tuple[str, bool]] = []  # block elements that are open, and whether they are furniture
+    open_: list[list] = []  # block elements that are open, their kinds of furniture, and whether their end was found
 
     def close() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
             words = _WORD.findall(text.lower())
-            found.append((text, len(words), sum(w in STOP_WORDS for w in words), linked, any(f for _, f in open_), any(t in _LANDMARKS for t, _ in open_)))
+            found.append((text, len(words), sum(w in STOP_WORDS for w in words), linked, tuple(open_), any(x[0] in _LANDMARKS for x in open_)))
         parts.clear()
         linked = 0
 
@@ -97,6 +116,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, bool, bool]]:
                 if end:
                     at = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == tag), None)
                     if at is not None:
+                        open_[at][2] = True
                         del open_[at:]
                 else:
                     if tag == "body" or tag in _LANDMARKS:  # a head or menu left open ends here
@@ -105,9 +125,9 @@ def blocks(page: str) -> list[tuple[str, int, int, int, bool, bool]]:
                         at = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] in ("li", "ul", "ol", "menu")), None)
                         if at is not None and open_[at][0] == "li":
                             del open_[at:]
-                    open_.append((tag, _is_furniture(tag, m[4], any(t in _LANDMARKS for t, _ in open_))))
+                    open_.append([tag, _furniture(tag, m[4], any(x[0] in _LANDMARKS for x in open_)), False])
     close()
-    return found
+    return [(*b[:4], _is_bad(b[4]), b[5]) for b in found]
 
 
 _SCHEMA = "rid long, page_id long, url string, at int, text string, words int, stops int, linked int, furniture boolean, landmark boolean"
