@@ -2,7 +2,8 @@
 
 The cost of a value is the least sum, over its segmentations, of the log10 of the guesses for each part: a common word by its
 rank, a date or year, a repeat of what stands before, a walk on the keyboard or along the alphabet, or brute force character
-by character. Values that cost at least LEAST_COST are reported as guess spans; "password123" is not, a random string is.
+by character. Common words are a fixed list and the words that most documents hold outside of such values, ranked by their
+documents: at most VOCABULARY words of 3 to 40 letters, in LEAST_DOCS documents or more. Values that cost at least LEAST_COST are reported as guess spans; "password123" is not, a random string is.
 
 Offsets are code points, ends exclusive. Defined results: null and empty texts have no spans. Values of any length are
 costed whole, in time linear in their length. Repeated rows give repeated results; a null doc_id is passed on. Empty tables
@@ -13,7 +14,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from math import log10
 
@@ -25,6 +27,8 @@ from lastrum.llm.words import slices
 
 KINDS = ("assign", "access", "hex", "guess")
 LEAST_COST = 8.0
+#: Most words taken from the documents, and the fewest documents that hold one.
+VOCABULARY, LEAST_DOCS = 50_000, 3
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
@@ -38,10 +42,9 @@ secret superman batman test guest user root changeme default example sample demo
 summer winter spring autumn monday friday january love money secure server system network internet company office""".split()
 # Rows of a keyboard, and the runs people type.
 RUNS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqrstuvwxyz", "qazwsxedcrfvtgbyhnujmikolp")
-_RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-_LONGEST = max(map(len, WORDS))
 _NEXT = {(a, b) for run in RUNS for a, b in zip(run, run[1:])} | {(b, a) for run in RUNS for a, b in zip(run, run[1:])}
 _LEET = str.maketrans("013457@$!", "oieastasi")
+_PROSE = re.compile(r"\b[^\W\d_]{3,40}\b")
 _DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
 #: log10 of guesses: a date of 150 years, a year, the start and turns of a walk, and the choice of another part.
 DATE_COST, YEAR_COST, WALK_COST, PART_COST = log10(365 * 150), log10(150), log10(40), log10(2)
@@ -51,40 +54,75 @@ def _brute(c: str) -> float:
     return log10(10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33 if c.isascii() else 100)
 
 
-@lru_cache(maxsize=4096)
-def guess_cost(value: str) -> float:
-    """log10 of the guesses for the cheapest segmentation of the value."""
-    low = value.lower()
-    plain = low.translate(_LEET)
-    n = len(value)
-    best = [0.0] + [float("inf")] * n
-    walk = 0  # characters of the keyboard walk that ends before i + 1
-    for i in range(n):
-        dates = _DATE.match(value, i)
-        if dates:
-            best[dates.end()] = min(best[dates.end()], best[i] + PART_COST + (YEAR_COST if dates.end() - i == 4 else DATE_COST))
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):
-            rank = _RANK.get(plain[i:j])
-            if rank:
-                shifted = 0 if value[i:j] == value[i:j].lower() else 0.3 if value[i:j].istitle() or value[i:j].isupper() else 0.3 * (j - i)
-                best[j] = min(best[j], best[i] + PART_COST + log10(rank + 1) + shifted + (0.3 if plain[i:j] != low[i:j] else 0))
-        walk = walk + 1 if i and (low[i - 1], low[i]) in _NEXT else 1
-        if walk >= 3:
-            best[i + 1] = min(best[i + 1], best[i + 1 - walk] + PART_COST + WALK_COST + log10(walk))
-        for unit in range(1, min(8, i) + 1):  # what stands before, once more
-            if low.startswith(low[i - unit : i], i) and i + unit <= n:
-                best[i + unit] = min(best[i + unit], best[i] + 0.2)
-        best[i + 1] = min(best[i + 1], best[i] + _brute(value[i]))
-    return best[n]
-
-
-def spans(text: str, least_cost: float = LEAST_COST) -> list[tuple[int, int, int]]:
+def coster(words: Iterable[str] = ()) -> Callable[[str], float]:
+    """guess_cost(value): log10 of the guesses for the cheapest segmentation of the value; words, most common first, join WORDS."""
+    ranks = {w: i + 1 for i, w in enumerate(words)}
+    ranks |= {w: min(i + 1, ranks.get(w, i + 1)) for i, w in enumerate(WORDS)}
+    longest = max(map(len, ranks))
+
+    @lru_cache(maxsize=4096)
+    def guess_cost(value: str) -> float:
+        low = value.lower()
+        plain = low.translate(_LEET)
+        n = len(value)
+        best = [0.0] + [float("inf")] * n
+        walk = 0  # characters of the keyboard walk that ends before i + 1
+        for i in range(n):
+            dates = _DATE.match(value, i)
+            if dates:
+                best[dates.end()] = min(best[dates.end()], best[i] + PART_COST + (YEAR_COST if dates.end() - i == 4 else DATE_COST))
+            for j in range(i + 3, min(n, i + longest) + 1):
+                rank = ranks.get(plain[i:j])
+                if rank:
+                    shifted = 0 if value[i:j] == value[i:j].lower() else 0.3 if value[i:j].istitle() or value[i:j].isupper() else 0.3 * (j - i)
+                    best[j] = min(best[j], best[i] + PART_COST + log10(rank + 1) + shifted + (0.3 if plain[i:j] != low[i:j] else 0))
+            walk = walk + 1 if i and (low[i - 1], low[i]) in _NEXT else 1
+            if walk >= 3:
+                best[i + 1] = min(best[i + 1], best[i + 1 - walk] + PART_COST + WALK_COST + log10(walk))
+            for unit in range(1, min(8, i) + 1):  # what stands before, once more
+                if low.startswith(low[i - unit : i], i) and i + unit <= n:
+                    best[i + unit] = min(best[i + unit], best[i] + 0.2)
+            best[i + 1] = min(best[i + 1], best[i] + _brute(value[i]))
+        return best[n]
+
+    return guess_cost
+
+
+guess_cost = coster()
+
+
+def prose(text: str) -> set[str]:
+    """The distinct lower-cased words of a text, without those in credential values."""
+    low = text.lower()
+    if any(h in low for h in _HINTS):
+        low = _ASSIGN.sub(" ", _CONTEXT.sub(" ", low))
+    return set(_PROSE.findall(low))
+
+
+def vocabulary(docs: DataFrame, size: int = VOCABULARY, least_docs: int = LEAST_DOCS) -> list[str]:
+    """The words that most documents hold, most common first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+        for batch in slices(batches):
+            for text in batch.column("text").to_pylist():
+                counts.update(prose(text or ""))
+            if len(counts) >= 1 << 16:
+                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+                counts.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+
+    words = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least_docs)
+    return [r["word"] for r in words.orderBy(F.desc("n"), "word").limit(size).collect()]
+
+
+def spans(text: str, least_cost: float = LEAST_COST, cost: Callable[[str], float] = guess_cost) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of all secrets, by start, then kind."""
     low = text.lower()
     found = []
     if any(h in low for h in _HINTS):
         found += [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 8]
-        found += [(m.start(m.lastindex), 3, m.end(m.lastindex)) for m in _CONTEXT.finditer(text) if guess_cost(m[m.lastindex]) >= least_cost]
+        found += [(m.start(m.lastindex), 3, m.end(m.lastindex)) for m in _CONTEXT.finditer(text) if cost(m[m.lastindex]) >= least_cost]
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
@@ -93,10 +131,12 @@ def spans(text: str, least_cost: float = LEAST_COST) -> list[tuple[int, int, int
 
 def scan(docs: DataFrame, least_cost: float = LEAST_COST) -> DataFrame:
     """One row per document: doc_id, found (array of kind, start, end, by start, then kind)."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cost = coster(shared.value)
         for batch in slices(batches):
-            rows = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans(text or "", least_cost)] for text in batch.column("text").to_pylist()]
+            rows = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans(text or "", least_cost, cost)] for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))], ["doc_id", "found"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, found array<struct<kind:string,start:bigint,end:bigint>>")
