@@ -32,7 +32,7 @@ _RUNS = re.compile(r"([A-Z]+)|([^\W\d_]+)|(\d+)|(.)\4*", re.S)
 
 
 def _shape(word: str) -> str:
-    return "".join("A" if m[1] else "a" if m[2] else "0" if m[3] else m[4] for m in _RUNS.finditer(word[:64]))
+    return "".join("A" if m[1] else "a" if m[2] else "0" if m[3] else m[4] for m in _RUNS.finditer(word))
 
 
 def featurise() -> Features:
