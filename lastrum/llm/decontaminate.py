@@ -8,8 +8,11 @@ passage within the edit budget is found, in whole texts of any length.
 Text and items are compared with A-Z lower-cased and each run of white space as one space. The items go to the tasks in blocks
 of bounded size, a pass over the documents for each block.
 
-Defined results: null and empty texts hold nothing. Items shorter than MIN_CHARS characters identify no passage and are not
-searched; null items neither. Repeated rows and items each give their own hits. Without items or documents there are no hits.
+Items shorter than MIN_CHARS characters are found where a text holds them exactly, between word boundaries: by the hashes of
+the windows of their lengths, which are then compared.
+
+Defined results: null and empty texts hold nothing. Null items and items without a character that isn't white space are not
+searched. Repeated rows and items each give their own hits. Without items or documents there are no hits.
 Extra columns are ignored by find() and passed on by clean().
 """
 
@@ -79,6 +82,42 @@ def aligned(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[in
     return int(row[best]), int(at[best]) + len(item)
 
 
+class Short:
+    """Items that are found as they are, by length: their hashes in order, and the items."""
+
+    def __init__(self, ids: list[int], items: list[np.ndarray]) -> None:
+        self.ids, self.items = ids, items
+        self.tables = {}
+        lengths = np.array([len(x) for x in items], np.int64)
+        for n in np.unique(lengths):
+            own = np.flatnonzero(lengths == n)
+            hashes = np.concatenate([grams(items[i], int(n)) for i in own])
+            order = np.argsort(hashes, kind="stable")
+            self.tables[int(n)] = hashes[order], own[order]
+
+    def hits(self, points: np.ndarray, where: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(item_id, start, end, 0) of each item that the text holds, at its first place."""
+        if not self.tables or not len(points):
+            return []
+        kinds, at = np.unique(points, return_inverse=True)
+        word = np.array([chr(c).isalnum() for c in kinds])[at]
+        edge = np.ones(len(points) + 1, bool)
+        edge[1:-1] = ~(word[1:] & word[:-1])
+        found: dict[int, tuple[int, int]] = {}
+        for n, (hashes, items) in self.tables.items():
+            if n > len(points):
+                continue
+            starts = np.flatnonzero(edge[:-n] & edge[n:])
+            windows = grams(points, n)[starts]
+            first, last = np.searchsorted(hashes, windows, "left"), np.searchsorted(hashes, windows, "right")
+            for k in np.flatnonzero(last > first):
+                start = int(starts[k])
+                for i in items[first[k] : last[k]]:
+                    if i not in found and np.array_equal(self.items[i], points[start : start + n]):
+                        found[i] = int(where[start]), int(where[start + n - 1]) + 1
+        return [(self.ids[i], s, e, 0) for i, (s, e) in found.items()]
+
+
 @dataclass
 class Index:
     """The q-grams of a block of items: hash, item and position sorted by hash, and a bitmap that rules most hashes out."""
@@ -87,13 +126,17 @@ class Index:
     items: list[np.ndarray]
     q: int
     error: float
+    min_chars: int = MIN_CHARS
 
     def __post_init__(self) -> None:
+        few = [len(x) < max(self.min_chars, self.q) for x in self.items]
+        self.short = Short([i for i, s in zip(self.ids, few, strict=True) if s], [x for x, s in zip(self.items, few, strict=True) if s])
+        self.ids, self.items = [i for i, s in zip(self.ids, few, strict=True) if not s], [x for x, s in zip(self.items, few, strict=True) if not s]
         each = [grams(x, self.q) for x in self.items]
         hashes = np.concatenate(each) if each else np.empty(0, np.uint64)
         order = np.argsort(hashes, kind="stable")
         self.hashes = hashes[order]
-        self.item = np.repeat(np.arange(len(each)), [len(x) for x in each])[order]
+        self.item = np.repeat(np.arange(len(each)), np.array([len(x) for x in each], np.int64))[order]
         self.pos = np.concatenate([np.arange(len(x)) for x in each])[order] if each else np.empty(0, np.int64)
         lengths = np.array([len(x) for x in self.items], np.int64)
         self.budget = np.minimum((lengths * self.error).astype(np.int64), (lengths - self.q) // self.q)
@@ -104,9 +147,11 @@ class Index:
 
     def bands(self, points: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, lowest diagonal, highest diagonal) of the bands with enough shared q-grams."""
+        if not len(self.hashes):
+            return []
         hashes = grams(points, self.q)
         at = np.flatnonzero(self.bitmap[(hashes >> self.shift).astype(np.int64)])
-        if not len(at) or not len(self.hashes):
+        if not len(at):
             return []
         first, last = np.searchsorted(self.hashes, hashes[at], "left"), np.searchsorted(self.hashes, hashes[at], "right")
         n = last - first
@@ -142,19 +187,19 @@ class Index:
                     costs = np.minimum.accumulate(new - steps) + steps
                 start = end - int(costs.argmin())
                 best[i] = edits, int(where[start]), int(where[end - 1]) + 1
-        return sorted((self.ids[i], s, e, d) for i, (d, s, e) in best.items())
+        return sorted([*((self.ids[i], s, e, d) for i, (d, s, e) in best.items()), *self.short.hits(points, where)])
 
 
 def blocks(items: DataFrame, q: int = Q, error: float = ERROR, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> Iterator[Index]:
     """Indexes of the items(item_id, text), each of bounded size; the driver holds one block at a time."""
-    used = items.where(F.length("text") >= min_chars).select(F.col("item_id").cast("long").alias("item_id"), "text")
+    used = items.where(F.length("text") > 0).select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = used.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-total // block_chars)
     for block in range(n):
         rows = [(r["item_id"], normal(r["text"])[0]) for r in used.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block).sort("item_id", "text").collect()]
-        rows = [r for r in rows if len(r[1]) >= max(min_chars, q)]
+        rows = [r for r in rows if len(r[1])]
         if rows:
-            yield Index([r[0] for r in rows], [r[1] for r in rows], q, error)
+            yield Index([r[0] for r in rows], [r[1] for r in rows], q, error, min_chars)
 
 
 def find(docs: DataFrame, items: DataFrame, q: int = Q, error: float = ERROR, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
