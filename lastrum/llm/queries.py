@@ -44,7 +44,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.find(table(spark, sf_dir, "documents"), width=3, percent=85).drop("print")
+    return near_dedup.find(table(spark, sf_dir, "documents"), width=3, percent=85).drop("print", "text_hash")
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
