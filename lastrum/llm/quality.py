@@ -7,7 +7,8 @@ A document's features are the shares of its words and of their shapes (runs of l
 of words that repeat the one before, and how varied the words are; none depends on doc_id, lang, source or labels.
 
 Defined results: a null text is empty and gets the score of no evidence (the thresholds alone). Rows without a usable label
-are not learnt from; without any, every document is as likely in each grade and kept. Each row is judged by its own text.
+are not learnt from; without any, every document is kept; if every known grade is below the level asked for, none is. Each
+row is judged by its own text.
 Empty tables give empty results. Extra columns are ignored by judge() and passed on by select().
 """
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lastrum.llm.hashed import CACHE, SAMPLE_ROWS, SPACE, Features, batches, flat, held_out, sample, score, sigmoid
+from lastrum.llm.hashed import CACHE, SAMPLE_ROWS, SPACE, Features, Rows, batches, held_out, sample, score, sigmoid
 from lastrum.llm.words import slices
 
 _RUNS = re.compile(r"([A-Z]+)|([^\W\d_]+)|(\d+)|(.)\4*", re.S)
@@ -74,19 +75,19 @@ class Model:
         return sigmoid(self.thresholds - np.asarray(raw)[..., None])
 
 
-def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 12, rate: float = 0.3, decay: float = 1e-5) -> Model:
+def fit(rows: Rows, epochs: int = 12, rate: float = 0.3, decay: float = 1e-5) -> Model:
     """By Adagrad on the likelihood of the observed grades; thresholds stay ordered, as their gaps are exponentials."""
-    grades = sorted({r[0] for r in rows})
+    grades = sorted({int(g) for g in rows.grade})
     w = np.zeros(SPACE, np.float64)
     if len(grades) < 2:
         return Model(w, np.zeros(0), grades)
-    rank = np.array([grades.index(r[0]) for r in rows])
+    rank = np.searchsorted(grades, rows.grade)
     share = np.clip([(rank <= j).mean() for j in range(len(grades) - 1)], 1e-3, 1 - 1e-3)
     start = np.log(share / (1 - share))
     free = np.concatenate([start[:1], np.log(np.maximum(np.diff(start), 1e-3))])
     seen, seen_free = np.full(SPACE, 1e-2), np.full(len(free), 1e-2)
     for chosen in batches(len(rows), 128, epochs):
-        ids, values, row = flat(rows, chosen)
+        ids, values, row = rows.take(chosen)
         theta = np.cumsum(np.concatenate([free[:1], np.exp(free[1:])]))
         s = np.bincount(row, w[ids] * values, len(chosen))
         edges = np.concatenate([[-np.inf], theta, [np.inf]])
@@ -116,32 +117,34 @@ def _raw(shared):
     return lambda ids, values: float(shared.value.weights[ids] @ values)
 
 
+def tail_threshold(model: Model, at_least: int) -> float:
+    """The threshold above which the raw score makes a grade of at_least or more the likelier: minus infinity where no known
+    grade is below it (or none is known), infinity where all are."""
+    if model.grades and model.grades[-1] < at_least:
+        return float("inf")
+    below = [j for j, g in enumerate(model.grades[:-1]) if g < at_least]
+    return float(model.thresholds[below[-1]]) if below else float("-inf")
+
+
 def judge(docs: DataFrame, model: Model, at_least: int = 1) -> DataFrame:
     """One row per document: doc_id, held_out, expected_grade, tail (probability of a grade of at_least or more), kept (tail >= 0.5)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     raw = score(docs, featurise, _raw(shared))
-    at_most = [1 / (1 + F.exp(F.col("raw") - float(t))) for t in model.thresholds]
-    expected, tail = F.lit(float(model.grades[-1] if model.grades else at_least)), F.lit(1.0)
-    for j, p in enumerate(at_most):
-        expected = expected - p * float(model.grades[j + 1] - model.grades[j])
-        if model.grades[j] < at_least:
-            tail = 1 - p
-    if model.grades and model.grades[-1] < at_least:
-        tail = F.lit(0.0)
-    return raw.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), expected.alias("expected_grade"), tail.alias("tail")).withColumn("kept", F.col("tail") >= 0.5)
+    expected = F.lit(float(model.grades[-1] if model.grades else at_least))
+    for j, t in enumerate(model.thresholds):
+        expected = expected - float(model.grades[j + 1] - model.grades[j]) / (1 + F.exp(F.col("raw") - float(t)))
+    edge = tail_threshold(model, at_least)
+    tail = F.lit(float(edge < 0)) if np.isinf(edge) else 1 / (1 + F.exp(F.lit(edge) - F.col("raw")))
+    return raw.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), expected.alias("expected_grade"), tail.alias("tail"), (F.col("raw") >= F.lit(edge)).alias("kept"))
 
 
 def select(docs: DataFrame, model: Model, at_least: int = 1) -> DataFrame:
-    """docs without the documents whose grade is more likely below at_least; columns as they came, nothing is shuffled."""
-    below = [j for j, g in enumerate(model.grades[:-1]) if g < at_least]
-    if not below:
-        return docs
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    threshold = float(model.thresholds[below[-1]])
+    """docs without the documents whose grade is more likely below at_least, as judge() has it; columns as they came, nothing is shuffled."""
+    shared, edge = docs.sparkSession.sparkContext.broadcast(model), tail_threshold(model, at_least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, raw = featurise(), _raw(shared)
         for batch in slices(batches):
-            yield batch.filter(pa.array([raw(*of(text or "")) >= threshold for text in batch.column("text").to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([raw(*of(text or "")) >= edge for text in batch.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

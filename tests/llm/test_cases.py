@@ -7,6 +7,7 @@ import pytest
 
 from lastrum.llm import decontaminate, exact_dedup, html_text, licenses, mixing, near_dedup, quality, secrets, toxicity, url_filter
 from lastrum.llm.components import components
+from lastrum.llm.hashed import rows_of
 
 
 def test_exact_dedup(odd_docs, no_docs):
@@ -151,8 +152,8 @@ def test_toxicity_learns_pairs():
     for _ in range(4000):
         a, b = rng.random(2) < 0.3
         ids = set(rng.integers(100, 3000, 60).tolist()) | ({1} if a else set()) | ({2} if b else set())
-        rows.append((int(a and b), np.array(sorted(ids), np.int32), np.ones(len(ids), np.float32)))
-    model = toxicity.fit(rows[:3000])
+        rows.append((int(a and b), np.array(sorted(ids), np.int32), None))
+    model = toxicity.fit(rows_of(rows[:3000]))
     assert np.mean([(model.raw(i) >= 0) == g for g, i, _ in rows[3000:]]) > 0.97
     assert model.factors[1] @ model.factors[2] > 0.5
 
