@@ -1,13 +1,15 @@
 """License scans by a positional index of rare words, in built-in SQL functions.
 
-Each file's licence words are indexed by position. The file's licence words with the highest inverse document frequency are
-looked up in the postings of the templates; each posting proposes where the template would begin. Postings that agree on the
-beginning (intersection by relative position) give the share of the template that stands there, and a template counts as
-found if its mandatory key phrase stands there word for word. Phrases are templates whose key phrase is the whole: they are
-found at every place, since the rarest word of a phrase is always looked up for it.
+Templates are whole licence texts and notices. For each file, its RAREST licence words of the highest inverse document
+frequency are looked up in the postings of the templates, and each occurrence proposes where a template would begin. Proposals
+are counted by beginning (the intersection of the postings by relative position): the share of a template's words that agree
+on a beginning, of those at least as rare as the commonest word looked up, is its score. Beginnings with a share of LEAST or more are kept, and then the mandatory key phrase
+has to stand there word for word. A phrase is a template of which every word is looked up and has to agree, so it is found at
+every place.
 
 Document frequencies are counted over all documents in a first pass; what reaches the driver is one count for each word of
-the templates. The second pass judges each row by itself: no shuffle, so hot words, copies and sources cost nothing extra.
+the templates. The second pass judges each row by itself: no shuffle, so hot words, copies and sources cost nothing extra, and
+its work is in proportion to the words of the file.
 
 Defined results: null and empty texts have no words, no labels and score 0. Repeated rows give repeated results, whatever
 their doc_id, which may be null. An empty table gives an empty result. Extra columns are ignored.
@@ -16,6 +18,7 @@ their doc_id, which may be null. An empty table gives an empty result. Extra col
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -23,9 +26,9 @@ from pyspark.sql import functions as F
 
 #: A word: a run of digits, letters a-z in either case, and characters beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Licence words of a file that are looked up, besides the rarest word of each phrase.
-RAREST = 4
-#: Share of a template's words that must stand in place, beside the key phrase.
+#: Licence words of a file that are looked up, besides those of phrases.
+RAREST = 12
+#: Share of a template's asked words (those looked up, and rarer ones that the file lacks) that must agree on where it begins.
 LEAST = 0.6
 
 
@@ -33,40 +36,76 @@ LEAST = 0.6
 class Template:
     label: str
     text: str
-    #: First word and number of words of the mandatory key phrase in the text.
-    key: tuple[int, int]
+    #: The mandatory phrase within the text.
+    key: str
     base: bool = False
 
     @property
     def words(self) -> list[str]:
-        return self.text.split()
+        return re.findall(WORD, self.text.lower())
+
+    @property
+    def key_words(self) -> list[str]:
+        return re.findall(WORD, self.key.lower())
+
+    @property
+    def key_at(self) -> int:
+        n = len(self.key_words)
+        return next(i for i in range(len(self.words)) if self.words[i : i + n] == self.key_words)
 
 
 def phrase(label: str, text: str) -> Template:
-    return Template(label, text, (0, len(text.split())), True)
+    return Template(label, text, text, True)
 
 
-# The base phrases with their labels, and common licence notices with the place of their key phrase.
+# The base phrases with their labels; then licence texts and notices, and the key phrase of each.
 BASE = (
     phrase("cc-by", "cc by"),
     phrase("gpl", "general public license"),
     phrase("reserved", "all rights reserved"),
 )
 NOTICES = (
-    Template("apache-2.0", "licensed under the apache license version 2 0", (3, 5)),
-    Template("mit", "released under the mit license", (3, 2)),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", (0, 7)),
-    Template("gpl-2.0", "licensed under the gnu general public license version 2", (3, 6)),
-    Template("gpl-3.0", "licensed under the gnu general public license version 3", (3, 6)),
-    Template("lgpl-3.0", "licensed under the gnu lesser general public license version 3", (3, 7)),
-    Template("agpl-3.0", "licensed under the gnu affero general public license version 3", (3, 7)),
-    Template("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", (6, 6)),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", (0, 8)),
-    Template("cc-by-4.0", "licensed under cc by 4 0", (2, 4)),
-    Template("cc-by-sa-4.0", "licensed under cc by sa 4 0", (2, 5)),
-    Template("cc-by-nc-4.0", "licensed under cc by nc 4 0", (2, 5)),
-    Template("cc0-1.0", "released under cc0 1 0", (2, 3)),
-    Template("unlicense", "this is free and unencumbered software released into the public domain", (2, 4)),
+    Template("apache-2.0", "Licensed under the Apache License, Version 2.0", "Apache License Version 2 0"),
+    Template("apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+        compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless
+        required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS"
+        BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific
+        language governing permissions and limitations under the License.""", "in compliance with the License"),
+    Template("mit", "Released under the MIT License", "MIT License"),
+    Template("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
+        associated documentation files (the "Software"), to deal in the Software without restriction, including without
+        limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software,
+        and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above
+        copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.""",
+        "Permission is hereby granted free of charge"),
+    Template("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
+        hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
+        "distribute this software for any purpose with or without fee"),
+    Template("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be
+        held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software
+        for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the
+        following restrictions""", "alter it and redistribute it freely"),
+    Template("bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+        the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+        conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
+        this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+        distribution.""", "Redistribution and use in source and binary forms"),
+    Template("gpl-2.0", "Licensed under the GNU General Public License, version 2", "GNU General Public License version 2"),
+    Template("gpl-3.0", "Licensed under the GNU General Public License, version 3", "GNU General Public License version 3"),
+    Template("gpl", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
+        Public License as published by the Free Software Foundation""", "GNU General Public License as published"),
+    Template("lgpl-3.0", "Licensed under the GNU Lesser General Public License, version 3", "GNU Lesser General Public License version 3"),
+    Template("agpl-3.0", "Licensed under the GNU Affero General Public License, version 3", "GNU Affero General Public License version 3"),
+    Template("mpl-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL
+        was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""", "Mozilla Public License v 2 0"),
+    Template("cc-by-4.0", "Licensed under CC BY 4.0", "CC BY 4 0"),
+    Template("cc-by-4.0", "licensed under a Creative Commons Attribution 4.0 International License", "Creative Commons Attribution 4 0"),
+    Template("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0", "CC BY SA 4 0"),
+    Template("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0", "CC BY NC 4 0"),
+    Template("cc0-1.0", "Released under CC0 1.0", "CC0 1 0"),
+    Template("unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
+        publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any
+        purpose, commercial or non-commercial, and by any means.""", "free and unencumbered software"),
 )
 
 
@@ -95,38 +134,57 @@ def frequencies(docs: DataFrame, templates: tuple[Template, ...]) -> tuple[int,
 
 
 def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + NOTICES, rarest: int = RAREST, least: float = LEAST) -> DataFrame:
-    """One row per document: doc_id, n_words, places (array of template number, start and share of words in place, by start)."""
+    """One row per document: doc_id, n_words, places (array of start, template number k and share of agreement, by start)."""
     total, counts = frequencies(docs, templates)
     idf = {w: math.log((total + 1) / (counts.get(w, 0) + 1)) for w in vocabulary(templates)}
     by_idf = sorted(idf, key=lambda w: (-idf[w], w))
-    lead = [max(t.words[t.key[0] : t.key[0] + t.key[1]], key=lambda w: (idf[w], w)) for t in templates]
-    must = sorted(set(lead))
+    number = {w: i for i, w in enumerate(by_idf)}
+    known = F.create_map(*[x for w in by_idf for x in (F.lit(w), F.lit(number[w]))])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("words"))
-    # the file's licence words, rarest first: the leading ones are looked up, and the rarest word of each key phrase that it
-    # holds; a file without any of the latter holds no key phrase
+    # the file's licence words as their numbers, rarest first
     rows = rows.withColumn("own", F.array_intersect(_strings(by_idf), F.col("words")))
-    rows = rows.withColumn("leads", F.array_intersect("own", _strings(must)))
-    rows = rows.withColumn("looked", F.when(F.size("leads") > 0, F.array_distinct(F.concat(F.slice("own", 1, rarest), "leads"))).otherwise(_strings([])))
+    # only templates whose key phrase can stand in the file are looked up; a file that holds none of their rarest words has none
+    must = [max(t.key_words, key=lambda w: (idf[w], w)) for t in templates]
+    rows = rows.withColumn("some", F.arrays_overlap("own", _strings(sorted(set(must)))))
+    keys = F.array(*[_strings(t.key_words) for t in templates])
+    able = F.filter(F.sequence(F.lit(0), F.lit(len(templates) - 1)), lambda k: F.size(F.array_except(F.get(keys, k), F.col("own"))) == 0)
+    rows = rows.withColumn("able", F.when(F.col("some"), able))
+    phrases = [k for k, t in enumerate(templates) if t.base]
+    of_phrases = F.flatten(F.transform(F.filter("able", lambda k: k.isin(phrases)), lambda k: F.get(keys, k)))
+    looked = F.array_distinct(F.concat(F.slice("own", 1, rarest) if rarest else _strings([]), of_phrases))
+    rows = rows.withColumn("looked", F.transform(F.when(F.size("able") > 0, looked), lambda w: F.element_at(known, w)))
     # positions of those words; files without any skip the index
-    index = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda p: F.array_contains("looked", p["w"]))
+    index = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), F.try_element_at(known, w).alias("w"))), lambda p: F.array_contains("looked", p["w"]))
     rows = rows.withColumn("index", F.when(F.size("looked") > 0, index))
-    postings = {w: [(k, at) for k, t in enumerate(templates) for at, x in enumerate(t.words) if x == w] for w in by_idf}
-    posting = F.create_map(*[x for w in by_idf for x in (F.lit(w), F.array(*[F.struct(F.lit(k).alias("k"), F.lit(at).alias("at")) for k, at in postings[w]]))])
-    proposed = F.flatten(F.transform("index", lambda p: F.transform(F.element_at(posting, p["w"]), lambda q: F.struct(q["k"].alias("k"), (p["i"] - q["at"]).alias("start")))))
-    rows = rows.withColumn("proposed", F.array_distinct(proposed))
-    texts = F.array(*[_strings(t.words) for t in templates])
-    first, n_key = F.array(*[F.lit(t.key[0]) for t in templates]), F.array(*[F.lit(t.key[1]) for t in templates])
-
-    def judged(p: Column) -> Column:
-        text = F.get(texts, p["k"])
-        here = lambda at: F.get(F.col("words"), p["start"] + at)
-        in_place = F.size(F.filter(F.transform(text, lambda w, at: F.when((p["start"] + at >= 0) & (here(at) == w), at)), lambda at: at.isNotNull()))
-        begin = p["start"] + F.get(first, p["k"])
-        key_stands = (begin >= 0) & (F.slice("words", F.greatest(begin, F.lit(0)) + 1, F.get(n_key, p["k"])) == F.slice(text, F.get(first, p["k"]) + 1, F.get(n_key, p["k"])))
-        return F.struct(p["start"].alias("start"), p["k"].alias("k"), F.when(key_stands, in_place / F.size(text)).otherwise(F.lit(0.0)).alias("share"))
-
-    places = F.array_sort(F.filter(F.transform("proposed", judged), lambda p: p["share"] >= least))
+    # postings by word number; a proposal is one number, the beginning and the template
+    n = len(templates)
+    postings = F.array(*[F.array(*[F.struct(F.lit(k).alias("k"), F.lit(at).alias("at")) for k, t in enumerate(templates) for at, x in enumerate(t.words) if x == w]) for w in by_idf])
+    shift = max(len(t.words) for t in templates)
+    to_number = lambda p: F.transform(F.filter(F.get(postings, p["w"]), lambda q: F.array_contains("able", q["k"])), lambda q: (p["i"] - q["at"] + shift).cast("long") * n + q["k"])
+    rows = rows.withColumn("proposed", F.array_sort(F.flatten(F.transform("index", to_number))))
+    # equal numbers stand together: each run's length is how many looked-up words agree
+    first = F.filter(F.transform("proposed", lambda x, i: F.when((i == 0) | (F.get("proposed", i - 1) != x), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("runs", first)
+    each = F.array(*[F.array(*[F.lit(number[w]) for w in t.words]) for t in templates])
+    cut = F.coalesce(F.element_at(known, F.get("own", F.lit(rarest - 1))), F.lit(len(by_idf))) if rarest else F.lit(-1)
+    rows = rows.withColumn("cut", cut)
+    asked = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.when(F.array_contains("able", k), F.size(F.filter(F.get(each, k), lambda w: (w <= F.col("cut")) | F.array_contains("looked", w)))).otherwise(F.lit(0)))
+    rows = rows.withColumn("asked", F.when(F.size("runs") > 0, asked))
+    key_at, is_base = F.array(*[F.lit(t.key_at) for t in templates]), F.array(*[F.lit(t.base) for t in templates])
+
+    def counted(i: Column, r: Column) -> Column:
+        x = F.get("proposed", i)
+        k = F.pmod(x, F.lit(n)).cast("int")
+        agree = F.coalesce(F.get("runs", r + 1), F.size("proposed")) - i
+        return F.struct((F.floor(x / n).cast("int") - shift).alias("start"), k.alias("k"), (agree / F.get("asked", k)).alias("share"))
+
+    def stands(p: Column) -> Column:
+        begin, key = p["start"] + F.get(key_at, p["k"]), F.get(keys, p["k"])
+        return (begin >= 0) & (F.slice("words", F.greatest(begin, F.lit(0)) + 1, F.size(key)) == key)
+
+    enough = F.filter(F.transform("runs", counted), lambda p: p["share"] >= F.when(F.get(is_base, p["k"]), 1.0).otherwise(least))
+    places = F.array_sort(F.filter(enough, stands))
     return rows.select("doc_id", F.size("words").cast("long").alias("n_words"), F.coalesce(places, F.array().cast("array<struct<start:int,k:int,share:double>>")).alias("places"))
 
 
