@@ -26,5 +26,5 @@ BESIDE = [
 
 @pytest.mark.parametrize("page", [*WRAPPED, *BESIDE])
 def test_only_the_article_is_good(page):
-    good = [text for text, _, _, _, furniture, landmark in html_text.blocks(f"<html><body>{page}</body></html>") if landmark and not furniture]
+    good = [b.text for b in html_text.classify(f"<html><body>{page}</body></html>") if b.landmark and not b.furniture]
     assert good == ["Head", "First text here.", "Last."]
