@@ -1,12 +1,12 @@
 """Secret scans: fixed patterns, and the guess cost of values in a credential context.
 
-The cost of a value is the least sum, over its segmentations, of the log10 of the guesses for each part: a common word by its
-rank, a date or year, a repeat of what stands before, a walk on the keyboard or along the alphabet, or brute force character
-by character. Common words are a fixed list and the words that most documents hold outside of such values, ranked by their
+The cost of a value is the least sum, over all its segmentations, of the log10 of the guesses for each part: a common word by
+its rank, a date or year, a repeat of any part of what stands before, a walk on the keyboard or along the alphabet from any
+place, or brute force character by character. Common words are a fixed list and the words that most documents hold outside of such values, ranked by their
 documents: at most VOCABULARY words of 3 to 40 letters, in LEAST_DOCS documents or more. Values that cost at least LEAST_COST are reported as guess spans; "password123" is not, a random string is.
 
 Offsets are code points, ends exclusive. Defined results: null and empty texts have no spans. Values of any length are
-costed whole, in time linear in their length. Repeated rows give repeated results; a null doc_id is passed on. Empty tables
+costed whole, in time and memory linear in their length. Repeated rows give repeated results; a null doc_id is passed on. Empty tables
 give empty results. Extra columns are ignored.
 """
 
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from math import log10
@@ -46,46 +46,106 @@ _NEXT = {(a, b) for run in RUNS for a, b in zip(run, run[1:])} | {(b, a) for run
 _LEET = str.maketrans("013457@$!", "oieastasi")
 _PROSE = re.compile(r"\b[^\W\d_]{3,40}\b")
 _DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
-#: log10 of guesses: a date of 150 years, a year, the start and turns of a walk, and the choice of another part.
-DATE_COST, YEAR_COST, WALK_COST, PART_COST = log10(365 * 150), log10(150), log10(40), log10(2)
+#: log10 of guesses: a date of 150 years, a year, the start of a walk, each of its steps, and the choice of another part.
+DATE_COST, YEAR_COST, WALK_COST, STEP_COST, PART_COST = log10(365 * 150), log10(150), log10(40), log10(1.2), log10(2)
 
 
 def _brute(c: str) -> float:
     return log10(10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33 if c.isascii() else 100)
 
 
-def coster(words: Iterable[str] = ()) -> Callable[[str], float]:
-    """guess_cost(value): log10 of the guesses for the cheapest segmentation of the value; words, most common first, join WORDS."""
+class Suffixes:
+    """A suffix automaton that grows by a character at a time: push() gives the length of the longest suffix that stands before, too."""
+
+    def __init__(self) -> None:
+        self.next: list[dict[str, int]] = [{}]
+        self.link, self.length, self.last = [-1], [0], 0
+
+    def push(self, c: str) -> int:
+        new, at = len(self.next), self.last
+        self.next.append({})
+        self.length.append(self.length[at] + 1)
+        self.link.append(0)
+        while at >= 0 and c not in self.next[at]:
+            self.next[at][c] = new
+            at = self.link[at]
+        if at >= 0:
+            to = self.next[at][c]
+            if self.length[to] != self.length[at] + 1:
+                copy = len(self.next)
+                self.next.append(dict(self.next[to]))
+                self.length.append(self.length[at] + 1)
+                self.link.append(self.link[to])
+                while at >= 0 and self.next[at].get(c) == to:
+                    self.next[at][c] = copy
+                    at = self.link[at]
+                self.link[to] = to = copy
+            self.link[new] = to
+        self.last = new
+        return self.length[self.link[new]]
+
+
+def word_cost(part: str, low: str, plain: str, rank: int) -> float:
+    """Of a common word by its rank: low and plain are the part in lower case, without and with digits read as letters."""
+    shifted = 0 if part == low else 0.3 if part.istitle() or part.isupper() else 0.3 * len(part)
+    return PART_COST + log10(rank + 1) + shifted + (0.3 if plain != low else 0)
+
+
+def repeat_cost(end: int) -> float:
+    """Of a part that stands before, too: the choice of where, among the places up to its end."""
+    return PART_COST + log10(end)
+
+
+def coster(words: Iterable[str] = ()) -> Callable[..., float]:
+    """guess_cost(value, enough): log10 of the guesses for the cheapest segmentation of the value; words, most common first, join
+    WORDS. Once no segmentation can cost less than enough, a number of at least enough is returned in its place."""
     ranks = {w: i + 1 for i, w in enumerate(words)}
     ranks |= {w: min(i + 1, ranks.get(w, i + 1)) for i, w in enumerate(WORDS)}
     longest = max(map(len, ranks))
 
-    @lru_cache(maxsize=4096)
-    def guess_cost(value: str) -> float:
-        low = value.lower()
+    def guess_cost(value: str, enough: float = float("inf")) -> float:
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
         plain = low.translate(_LEET)
-        n = len(value)
-        best = [0.0] + [float("inf")] * n
-        walk = 0  # characters of the keyboard walk that ends before i + 1
-        for i in range(n):
+        n, never = len(value), float("inf")
+        best = [0.0] + [never] * n
+        before, window = Suffixes(), deque()  # places from which a repeat may reach the current one, cheapest first
+        walk = never  # the cheapest ending in a walk of 3 or more whose last character is the one before
+        run = 1  # characters of the unbroken walk that ends here
+        for j in range(1, n + 1):
+            i = j - 1
+            # parts that begin at i: all costs of best[i] are known by now
             dates = _DATE.match(value, i)
             if dates:
                 best[dates.end()] = min(best[dates.end()], best[i] + PART_COST + (YEAR_COST if dates.end() - i == 4 else DATE_COST))
-            for j in range(i + 3, min(n, i + longest) + 1):
-                rank = ranks.get(plain[i:j])
+            for k in range(i + 3, min(n, i + longest) + 1):
+                rank = ranks.get(plain[i:k])
                 if rank:
-                    shifted = 0 if value[i:j] == value[i:j].lower() else 0.3 if value[i:j].istitle() or value[i:j].isupper() else 0.3 * (j - i)
-                    best[j] = min(best[j], best[i] + PART_COST + log10(rank + 1) + shifted + (0.3 if plain[i:j] != low[i:j] else 0))
-            walk = walk + 1 if i and (low[i - 1], low[i]) in _NEXT else 1
-            if walk >= 3:
-                best[i + 1] = min(best[i + 1], best[i + 1 - walk] + PART_COST + WALK_COST + log10(walk))
-            for unit in range(1, min(8, i) + 1):  # what stands before, once more
-                if low.startswith(low[i - unit : i], i) and i + unit <= n:
-                    best[i + unit] = min(best[i + unit], best[i] + 0.2)
-            best[i + 1] = min(best[i + 1], best[i] + _brute(value[i]))
+                    best[k] = min(best[k], best[i] + word_cost(value[i:k], low[i:k], plain[i:k], rank))
+            # parts that end at j
+            run = run + 1 if i and (low[i - 1], low[i]) in _NEXT else 1
+            walk = walk + STEP_COST if run > 1 else never
+            if run >= 3:
+                walk = min(walk, best[j - 3] + PART_COST + WALK_COST + 3 * STEP_COST)
+                best[j] = min(best[j], walk)
+            while window and best[window[-1]] >= best[i]:
+                window.pop()
+            window.append(i)
+            far = before.push(low[i])
+            while window and window[0] < j - far:
+                window.popleft()
+            if window:
+                best[j] = min(best[j], best[window[0]] + repeat_cost(j))
+            best[j] = min(best[j], best[i] + _brute(value[i]))
+            # the last boundary up to j of any segmentation, with the part that begins there: a word or date is already counted in
+            # the place where it ends, a walk either runs or begins at one of the two places before, a repeat stands in the window
+            ahead = min(best[j : j + max(longest, 10) + 1])
+            repeat = best[window[0]] + repeat_cost(j) if window else never
+            if j > 2 and min(ahead, walk, best[j - 1], best[j - 2], repeat) >= enough:
+                return enough
         return best[n]
 
-    return guess_cost
+    cached = lru_cache(maxsize=4096)(guess_cost)
+    return lambda value, enough=float("inf"): (cached if len(value) <= 200 else guess_cost)(value, enough)
 
 
 guess_cost = coster()
@@ -122,7 +182,7 @@ def spans(text: str, least_cost: float = LEAST_COST, cost: Callable[[str], float
     found = []
     if any(h in low for h in _HINTS):
         found += [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 8]
-        found += [(m.start(m.lastindex), 3, m.end(m.lastindex)) for m in _CONTEXT.finditer(text) if cost(m[m.lastindex]) >= least_cost]
+        found += [(m.start(m.lastindex), 3, m.end(m.lastindex)) for m in _CONTEXT.finditer(text) if cost(m[m.lastindex], least_cost) >= least_cost]
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
