@@ -3,13 +3,15 @@
 A passage of m characters that holds an item with at most k edits shares at least m - q + 1 - k q of its q-grams, on diagonals
 (position in the text less position in the item) that span at most k. So shared q-grams are counted in overlapping bands of
 2 k + 1 diagonals, bands that reach the bound are kept, and a banded alignment verifies them. The lemma loses nothing: each
-passage within the edit budget is found, in whole texts of any length.
+passage within the edit budget is found, in whole texts of any length. Shared q-grams are counted in slices of SLICE hits, so
+that one that recurs in both takes time but no memory. Of the places of an item that overlap, the one with the fewest edits
+counts; each other place is a hit of its own.
 
 Text and items are compared with A-Z lower-cased and each run of white space as one space. The items go to the tasks in blocks
-of bounded size, a pass over the documents for each block.
+of bounded size, a pass over the documents for each block; only one block is held at a time, and what a pass gives is written.
 
 Items shorter than MIN_CHARS characters are found where a text holds them exactly, between word boundaries: by the hashes of
-the windows of their lengths, which are then compared.
+the windows of their lengths, which are then compared; each of their places is a hit.
 
 Defined results: null and empty texts hold nothing. Null items and items without a character that isn't white space are not
 searched. Repeated rows and items each give their own hits. Without items or documents there are no hits.
@@ -18,6 +20,7 @@ Extra columns are ignored by find() and passed on by clean().
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,15 +29,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lastrum.llm.shared import save
 from lastrum.llm.words import _power, mixed, slices
 
 Q = 8
 #: Edits per character that a leaked passage may have.
 ERROR = 0.08
 MIN_CHARS = 40
-#: Characters of the items that one block broadcasts: 16 bytes each in the index, so 64 MB.
-BLOCK_CHARS = 4_000_000
-CHUNK = 1 << 18
+#: Characters of the items that one block broadcasts (of a longer item alone, its length). The index takes 16 bytes for each, its bit
+#: filter 4 to 8 and the items 4: at most 56 MB in a worker.
+BLOCK_CHARS = 2_000_000
+#: Shared q-grams that are counted at once: 16 bytes each, and as much again to sort them.
+SLICE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -96,31 +102,33 @@ class Short:
             self.tables[int(n)] = hashes[order], own[order]
 
     def hits(self, points: np.ndarray, where: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item_id, start, end, 0) of each item that the text holds, at its first place."""
+        """(item_id, start, end, 0) of each place of an item, from left to right without overlaps."""
         if not self.tables or not len(points):
             return []
         kinds, at = np.unique(points, return_inverse=True)
         word = np.array([chr(c).isalnum() for c in kinds])[at]
         edge = np.ones(len(points) + 1, bool)
         edge[1:-1] = ~(word[1:] & word[:-1])
-        found: dict[int, tuple[int, int]] = {}
+        found: list[tuple[int, int, int, int]] = []
         for n, (hashes, items) in self.tables.items():
             if n > len(points):
                 continue
             starts = np.flatnonzero(edge[:-n] & edge[n:])
             windows = grams(points, n)[starts]
             first, last = np.searchsorted(hashes, windows, "left"), np.searchsorted(hashes, windows, "right")
+            until: dict[int, int] = {}
             for k in np.flatnonzero(last > first):
                 start = int(starts[k])
                 for i in items[first[k] : last[k]]:
-                    if i not in found and np.array_equal(self.items[i], points[start : start + n]):
-                        found[i] = int(where[start]), int(where[start + n - 1]) + 1
-        return [(self.ids[i], s, e, 0) for i, (s, e) in found.items()]
+                    if start >= until.get(i, 0) and np.array_equal(self.items[i], points[start : start + n]):
+                        until[i] = start + n
+                        found.append((self.ids[i], int(where[start]), int(where[start + n - 1]) + 1, 0))
+        return found
 
 
 @dataclass
 class Index:
-    """The q-grams of a block of items: hash, item and position sorted by hash, and a bitmap that rules most hashes out."""
+    """The q-grams of a block of items: hash, item and position sorted by hash, and a filter of bits that rules most hashes out."""
 
     ids: list[int]
     items: list[np.ndarray]
@@ -136,48 +144,70 @@ class Index:
         hashes = np.concatenate(each) if each else np.empty(0, np.uint64)
         order = np.argsort(hashes, kind="stable")
         self.hashes = hashes[order]
-        self.item = np.repeat(np.arange(len(each)), np.array([len(x) for x in each], np.int64))[order]
-        self.pos = np.concatenate([np.arange(len(x)) for x in each])[order] if each else np.empty(0, np.int64)
+        self.item = np.repeat(np.arange(len(each), dtype=np.int32), np.array([len(x) for x in each], np.int64))[order]
+        self.pos = np.concatenate([np.arange(len(x), dtype=np.int32) for x in each])[order] if each else np.empty(0, np.int32)
         lengths = np.array([len(x) for x in self.items], np.int64)
         self.budget = np.minimum((lengths * self.error).astype(np.int64), (lengths - self.q) // self.q)
         self.needed = lengths - self.q + 1 - self.budget * self.q
-        self.shift = np.uint64(64 - max(16, int(np.ceil(np.log2(max(1, len(hashes)) * 64)))))
-        self.bitmap = np.zeros(1 << (64 - int(self.shift)), bool)
-        self.bitmap[(hashes >> self.shift).astype(np.int64)] = True
+        self.shift = np.uint64(64 - max(16, int(np.ceil(np.log2(max(1, len(hashes)) * 32)))))
+        bits = np.zeros(1 << (64 - int(self.shift)), bool)
+        bits[(hashes >> self.shift).astype(np.int64)] = True
+        self.bits = np.packbits(bits)
+
+    def maybe(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of the hashes that the filter lets through."""
+        at = (hashes >> self.shift).astype(np.int64)
+        return np.flatnonzero((self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
 
     def bands(self, points: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, lowest diagonal, highest diagonal) of the bands with enough shared q-grams."""
         if not len(self.hashes):
             return []
         hashes = grams(points, self.q)
-        at = np.flatnonzero(self.bitmap[(hashes >> self.shift).astype(np.int64)])
+        at = self.maybe(hashes)
         if not len(at):
             return []
         first, last = np.searchsorted(self.hashes, hashes[at], "left"), np.searchsorted(self.hashes, hashes[at], "right")
         n = last - first
-        place = np.repeat(at, n)
-        entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-        item, pos = self.item[entry], self.pos[entry]
-        width = self.budget[item] + 1
+        total = int(n.sum())
         base = len(points) + 2
-        band = (place - pos) // width
-        # a hit counts in its own band and in the one before it, which reaches over it
-        keys = np.concatenate([item * (4 * base) + band + 2 * base, item * (4 * base) + band - 1 + 2 * base])
-        found, counts = np.unique(keys, return_counts=True)
-        item, band = found // (4 * base), found % (4 * base) - 2 * base
+        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        ends = np.cumsum(n)
+        for low in range(0, total, SLICE):  # hits low to high, wherever that cuts the hits of one place
+            high = min(low + SLICE, total)
+            i, j = np.searchsorted(ends, low, "right"), np.searchsorted(ends, high - 1, "right") + 1
+            part = n[i:j].copy()
+            part[0] = min(int(ends[i]), high) - low
+            skipped = low - int(ends[i] - n[i])
+            if j - 1 > i:
+                part[-1] = high - int(ends[j - 2])
+            entry = np.arange(high - low) - np.repeat(np.cumsum(part) - part, part) + np.repeat(first[i:j], part)
+            entry[: part[0]] += skipped
+            item, pos = self.item[entry].astype(np.int64), self.pos[entry]
+            # a hit counts in its own band and in the one before it, which reaches over it
+            key = item * (4 * base) + (np.repeat(at[i:j], part) - pos) // (self.budget[item] + 1) + 2 * base
+            own, often = np.unique(key, return_counts=True)
+            together, place = np.unique(np.concatenate([keys, own]), return_inverse=True)
+            keys, counts = together, np.bincount(place, np.concatenate([counts, often]), len(together)).astype(np.int64)
+        both, place = np.unique(np.concatenate([keys, keys - 1]), return_inverse=True)
+        counts = np.bincount(place, np.concatenate([counts, counts]), len(both))
+        item, band = both // (4 * base), both % (4 * base) - 2 * base
         full = counts >= self.needed[item]
         return [(int(i), int(b * (self.budget[i] + 1)), int((b + 2) * (self.budget[i] + 1) - 1)) for i, b in zip(item[full], band[full], strict=True)]
 
-    def hits(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item_id, start, end, edits) of each item that the text holds, at its best place; code points of the text, end exclusive."""
+    def hits(self, text: str, first: bool = False) -> list[tuple[int, int, int, int]]:
+        """(item_id, start, end, edits) of each place of an item; code points of the text, end exclusive. If first, of one place."""
         points, where = normal(text)
-        best: dict[int, tuple[int, int, int]] = {}
+        if first and (found := self.short.hits(points, where)):
+            return found
+        places: dict[int, list[tuple[int, int, int]]] = {}
+        exact: dict[int, tuple[int, int]] = {}
         for i, low, high in self.bands(points):
             item, k = self.items[i], int(self.budget[i])
-            if i in best and best[i][0] == 0:
-                continue
+            if i in exact and exact[i][0] <= low - k and high + k < exact[i][1]:
+                continue  # wherever a place began here, it would overlap the exact one
             edits, end = aligned(item, points, low - k, high + k)
-            if edits <= k and (i not in best or edits < best[i][0]):
+            if edits <= k:
                 # the start: the reversed item, from the end found
                 back = points[max(0, end - len(item) - k) : end][::-1]
                 costs = np.arange(len(back) + 1)
@@ -185,13 +215,24 @@ class Index:
                     new = np.concatenate(([costs[0] + 1], np.minimum(costs[1:] + 1, costs[:-1] + (back != c))))
                     steps = np.arange(len(new))
                     costs = np.minimum.accumulate(new - steps) + steps
-                start = end - int(costs.argmin())
-                best[i] = edits, int(where[start]), int(where[end - 1]) + 1
-        return sorted([*((self.ids[i], s, e, d) for i, (d, s, e) in best.items()), *self.short.hits(points, where)])
+                places.setdefault(i, []).append((edits, end - int(costs.argmin()), end))
+                if edits == 0:
+                    exact[i] = places[i][-1][1:]
+                if first:
+                    break
+        found = []
+        for i, each in places.items():
+            taken: list[tuple[int, int]] = []  # disjoint, in order
+            for edits, start, end in sorted(set(each)):
+                at = bisect_left(taken, (start, end))
+                if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or end <= taken[at][0]):
+                    taken.insert(at, (start, end))
+                    found.append((self.ids[i], int(where[start]), int(where[end - 1]) + 1, edits))
+        return sorted([*found, *([] if first else self.short.hits(points, where))])
 
 
 def blocks(items: DataFrame, q: int = Q, error: float = ERROR, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> Iterator[Index]:
-    """Indexes of the items(item_id, text), each of bounded size; the driver holds one block at a time."""
+    """Indexes of the items(item_id, text), each of bounded size; the driver holds one at a time."""
     used = items.where(F.length("text") > 0).select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = used.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-total // block_chars)
@@ -202,32 +243,51 @@ def blocks(items: DataFrame, q: int = Q, error: float = ERROR, min_chars: int =
             yield Index([r[0] for r in rows], [r[1] for r in rows], q, error, min_chars)
 
 
+def _passes(docs: DataFrame, items: DataFrame, step, options: tuple) -> Iterator[DataFrame]:
+    """step(docs or the frame before, broadcast index) for each block; but for the last, what it gives is written and the block freed."""
+    held = out = None
+    for index in blocks(items, *options):
+        if held:
+            out = save(out, "passed")
+            held.unpersist()
+            yield out
+        held = docs.sparkSession.sparkContext.broadcast(index)
+        out = step(out, held)
+    if held:
+        yield out
+
+
 def find(docs: DataFrame, items: DataFrame, q: int = Q, error: float = ERROR, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(doc_id, item_id, start, end, edits) for each document and benchmark item that it holds."""
+    """(doc_id, item_id, start, end, edits) for each place of a benchmark item in a document."""
     schema = "doc_id long, item_id long, start long, end long, edits long"
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = docs.sparkSession.createDataFrame([], schema)
-    for index in blocks(items, q, error, min_chars, block_chars):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def step(_, shared) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
                 rows = [(d, *hit) for d, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) if text for hit in shared.value.hits(text)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["doc_id", "item_id", "start", "end", "edits"])
 
-        out = out.unionAll(texts.mapInArrow(run, schema))
-    return out
+        return texts.mapInArrow(run, schema)
+
+    out = None
+    for found in _passes(docs, items, step, (q, error, min_chars, block_chars)):
+        out = found if out is None else out.unionAll(found)
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def clean(docs: DataFrame, items: DataFrame, q: int = Q, error: float = ERROR, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs without the documents that hold a benchmark item; each row is judged by its own text, and nothing is shuffled."""
-    for index in blocks(items, q, error, min_chars, block_chars):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def step(left: DataFrame | None, shared) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
-                yield batch.filter(pa.array([not (text and shared.value.hits(text)) for text in batch.column("text").to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([not (text and shared.value.hits(text, first=True)) for text in batch.column("text").to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        return (docs if left is None else left).mapInArrow(run, docs.schema)
+
+    out = docs
+    for out in _passes(docs, items, step, (q, error, min_chars, block_chars)):
+        pass
+    return out
