@@ -5,7 +5,7 @@ A passage of m characters that holds an item with at most k edits shares at leas
 2 k + 1 diagonals, bands that reach the bound are kept, and a banded alignment verifies them. The lemma loses nothing: each
 passage within the edit budget is found, in whole texts of any length. Shared q-grams are counted in slices of SLICE hits, so
 that one that recurs in both takes time but no memory. Of the places of an item that overlap, the one with the fewest edits
-counts; each other place is a hit of its own.
+counts; each other place is a hit of its own (one for each band, where an item is periodic and its places touch).
 
 Text and items are compared with A-Z lower-cased and each run of white space as one space. The items go to the tasks in blocks
 of bounded size, a pass over the documents for each block; only one block is held at a time, and what a pass gives is written.
