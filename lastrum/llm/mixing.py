@@ -5,8 +5,8 @@ sum passes the budget is the boundary bucket, and only that bucket is split by f
 boundary is a hash threshold, and the mix is a filter: no sort, and reruns agree. Budgets nest: the second pass over a source
 takes the documents below a second, lower threshold again.
 
-Defined results: a null text has size 0; a null source is a source of its own, last in order; rows without a doc_id hash by
-their text. Rows that repeat a doc_id move together. Of an empty table the mix is empty. Sources without words have target 0.
+Defined results: a null text has size 0; a null source is a source of its own, last in order; documents hash by doc_id and text,
+so only rows that repeat both move together (a source that is one such row many times over is taken as a whole or not). Of an empty table the mix is empty. Sources without words have target 0.
 """
 
 from __future__ import annotations
@@ -22,29 +22,42 @@ MOST = 2
 BITS, LEVELS, HASH_BITS = 10, 3, 62
 #: Salts per source where the table of sources is too large to broadcast.
 SALTS = 64
+#: Ranges in which sources are ranked.
+RANGES = 32
 
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def _ranked(sources: DataFrame) -> DataFrame:
+    """Adds rank, from 0 in order of the source by code point, null last: ranges of sources are ranked each in a task of its own."""
+    order = F.col("source").asc_nulls_last()
+    parts = save(sources.repartitionByRange(RANGES, order).withColumn("part", F.spark_partition_id()), "ranges")
+    sizes = parts.groupBy("part").agg(F.count("*").alias("n"))  # one row for each range
+    offsets = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("offset"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    return parts.withColumn("own", own).join(F.broadcast(offsets), "part").withColumn("rank", F.col("own") + F.col("offset")).drop("part", "own", "offset")
+
+
 def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """Adds target to sources(key, source, source_size): share of all sizes by weight, none above most times its size.
 
-    The excess of capped sources is reshared until none is above: a source is capped if what is left for it and those with a
-    higher limit per weight exceeds its own limit. One row per source: the windows run over names, not documents.
+    The level of words per weight rises as the excess of capped sources is reshared, until it caps no further source; each
+    round is one aggregate over the sources.
     """
     cycle = F.array(*map(F.lit, weights))
-    ranked = sources.withColumn("weight", F.element_at(cycle, (F.pmod(F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1, F.lit(len(weights))) + 1).cast("int")))
-    ranked = ranked.withColumns({"limit": F.lit(float(most)) * F.col("source_size"), "ratio": F.lit(float(most)) * F.col("source_size") / F.col("weight")})
-    by_ratio = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    everything = Window.partitionBy()
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    budget = F.lit(float(share)) * F.sum("source_size").over(everything)
-    capped = ranked.withColumn("budget", budget).withColumn("capped", (F.col("budget") - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / F.sum("weight").over(after) >= F.col("ratio"))
-    level = (F.col("budget") - F.coalesce(F.sum(F.when(F.col("capped"), F.col("limit"))).over(everything), F.lit(0.0))) / F.sum(F.when(~F.col("capped"), F.col("weight"))).over(everything)
-    return capped.withColumn("target", F.when(F.col("capped"), F.col("limit")).otherwise(level * F.col("weight"))).select("key", "source", "source_size", "target")
+    ranked = _ranked(sources).withColumn("weight", F.get(cycle, F.pmod("rank", F.lit(len(weights))).cast("int")))
+    ranked = save(ranked.withColumn("limit", F.lit(float(most)) * F.col("source_size")), "ranked")
+    budget = float(share) * (ranked.agg(F.sum("source_size")).first()[0] or 0)
+    level, before = 0.0, -1
+    while True:
+        capped = F.col("limit") < F.lit(level) * F.col("weight")
+        row = ranked.agg(F.count_if(capped).alias("n"), F.coalesce(F.sum(F.when(capped, F.col("limit"))), F.lit(0.0)).alias("used"), F.coalesce(F.sum(F.when(~capped, F.col("weight"))), F.lit(0.0)).alias("free")).first()
+        if row["n"] == before or not row["free"]:
+            break
+        before, level = row["n"], (budget - row["used"]) / row["free"]
+    return ranked.withColumn("target", F.least("limit", F.lit(level) * F.col("weight"))).select("key", "source", "source_size", "target")
 
 
 def _by_source(big: DataFrame, small: DataFrame, n: int) -> DataFrame:
@@ -64,7 +77,7 @@ def sized(docs: DataFrame) -> DataFrame:
         F.when(source.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), source)).alias("key"),
         source.alias("source"),
         n_words(F.col("text")).alias("size"),
-        F.shiftrightunsigned(F.when(doc_id.isNull(), F.xxhash64(F.lit("text"), F.col("text"))).otherwise(F.xxhash64(doc_id)), 2).alias("u"),
+        F.shiftrightunsigned(F.xxhash64(doc_id, F.col("text").cast("string")), 2).alias("u"),
     )
 
 
