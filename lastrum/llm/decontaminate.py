@@ -88,6 +88,27 @@ def aligned(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[in
     return int(row[best]), int(at[best]) + len(item)
 
 
+def _exactly(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int] | None:
+    """(0, end) of the first place at which the text has the item itself on the diagonals low to high, if there is one."""
+    first = max(0, low)
+    part, whole = text[first : max(0, high + len(item))].tobytes(), item.tobytes()
+    at = part.find(whole)
+    while at % item.itemsize and at >= 0:
+        at = part.find(whole, at + 1)
+    return (0, first + at // item.itemsize + len(item)) if at >= 0 else None
+
+
+def _start(item: np.ndarray, text: np.ndarray, end: int, k: int) -> int:
+    """Where a place of the item with at most k edits begins that ends there: the reversed item, from its end."""
+    back = text[max(0, end - len(item) - k) : end][::-1]
+    steps = np.arange(len(back) + 1)
+    costs = steps
+    for c in item[::-1]:
+        new = np.concatenate(([costs[0] + 1], np.minimum(costs[1:] + 1, costs[:-1] + (back != c))))
+        costs = np.minimum.accumulate(new - steps) + steps
+    return end - int(costs.argmin())
+
+
 class Short:
     """Items that are found as they are, by length: their hashes in order, and the items."""
 
@@ -204,18 +225,11 @@ class Index:
         exact: dict[int, tuple[int, int]] = {}
         for i, low, high in self.bands(points):
             item, k = self.items[i], int(self.budget[i])
-            if i in exact and exact[i][0] <= low - k and high + k < exact[i][1]:
+            if i in exact and low - k <= exact[i][0] <= high + k or i in exact and exact[i][0] <= low - k and high + k < exact[i][1]:
                 continue  # wherever a place began here, it would overlap the exact one
-            edits, end = aligned(item, points, low - k, high + k)
+            edits, end = _exactly(item, points, low - k, high + k) or aligned(item, points, low - k, high + k)
             if edits <= k:
-                # the start: the reversed item, from the end found
-                back = points[max(0, end - len(item) - k) : end][::-1]
-                costs = np.arange(len(back) + 1)
-                for c in item[::-1]:
-                    new = np.concatenate(([costs[0] + 1], np.minimum(costs[1:] + 1, costs[:-1] + (back != c))))
-                    steps = np.arange(len(new))
-                    costs = np.minimum.accumulate(new - steps) + steps
-                places.setdefault(i, []).append((edits, end - int(costs.argmin()), end))
+                places.setdefault(i, []).append((edits, _start(item, points, end, k) if edits else end - len(item), end))
                 if edits == 0:
                     exact[i] = places[i][-1][1:]
                 if first:
