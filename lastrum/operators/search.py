@@ -38,13 +38,15 @@ def tfidf(docs: DataFrame, key: str, text: str) -> DataFrame:
 def semantic_scores(queries: DataFrame, docs: DataFrame, query_key: str, key: str, text: str, query_text: str = "text") -> DataFrame:
     """(query_key, key, score) of all pairs that share a term; cosine rounded to 6, at most 1.
 
-    Only the terms of the queries are weighed in the documents; the norms are those of the whole documents."""
+    Document terms are weighed once: their squares sum to the norms, which are joined with the pairs found, and only the terms
+    that some query has meet the queries."""
     counts = term_counts(docs, key, text)
     idfs = idf(counts, docs.count())
-    d = weights(counts, idfs, key).withColumnRenamed("weight", "dw")
+    raw = counts.join(idfs, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).where("norm > 0")
     q = weights(term_counts(queries, query_key, query_text), idfs, query_key).withColumnRenamed("weight", "qw")
-    dots = d.join(q, "term").groupBy(query_key, key).agg(F.sum(F.col("qw") * F.col("dw")).alias("dot"))
-    return dots.select(query_key, key, F.least(fixed("dot", 6), F.lit(1.0)).alias("score"))
+    dots = raw.join(q, "term").groupBy(query_key, key).agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
+    return dots.join(norms, key).select(query_key, key, F.least(fixed(F.col("dot") / F.col("norm"), 6), F.lit(1.0)).alias("score"))
 
 
 def top_k(scored: DataFrame, query_key: str, key: str, k: int, score: str = "score") -> DataFrame:

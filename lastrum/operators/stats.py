@@ -2,7 +2,7 @@
 
 Order statistics are exact and never gather a group in one task: values are counted by (group, value), a running sum over a
 bounded number of cells of close values finds the cell that holds each rank, and only the values of those cells are summed up
-in order. A group with a third of all rows is spread over its cells.
+in order. A group with a third of all rows is spread over its cells. Moments come from the same cells.
 """
 
 from __future__ import annotations
@@ -24,23 +24,48 @@ def _cell(value: str) -> Column:
     return F.floor(F.signum(value) * F.log1p(F.abs(F.col(value))) * CELLS)
 
 
-def values_at(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column]) -> DataFrame:
-    """One row per group: keys, n and, for each name of ranks, the value at that rank (from 1, a column over n); null at rank null.
+def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys, _v, _c): how often each value occurs in its group. All statistics below come from these counts, so a query scans and
+    shuffles its rows once, however many of them it asks for."""
+    return df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
 
-    Null values don't count; groups without any have no row."""
-    keys = list(keys)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c")).withColumn("_cell", _cell("_v"))
-    cells = counts.groupBy(*keys, "_cell").agg(F.sum("_c").alias("_s"))
+
+def _ranked(counts: DataFrame, keys: list[str], ranks: dict[str, Column]) -> DataFrame:
+    """One row per group: keys, n, _avg, _squares (about it), _min, _max, and the value at each rank.
+
+    Moments are summed about the edge of each cell and then combined, so that close values of any size lose no digits."""
+    counts = counts.withColumn("_cell", _cell("_v"))
+    edge = F.signum("_cell") * F.expm1(F.abs("_cell") / CELLS)
+    off = F.col("_v") - edge
+    cells = counts.groupBy(*keys, "_cell").agg(F.sum("_c").alias("_s"), F.sum(F.col("_c") * off).alias("_d"), F.sum(F.col("_c") * off * off).alias("_e"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     group = Window.partitionBy(*keys)
     running = group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cells = cells.withColumns({"_upto": F.sum("_s").over(running), "n": F.sum("_s").over(group)})
+    cells = cells.withColumns({"_upto": F.sum("_s").over(running), "n": F.sum("_s").over(group), "_mean": edge + F.col("_d") / F.col("_s"), "_min": F.min("_lo").over(group), "_max": F.max("_hi").over(group)})
+    cells = cells.withColumn("_avg", F.sum(F.col("_s") * F.col("_mean")).over(group) / F.col("n"))
+    about = F.col("_e") - F.col("_d") * F.col("_d") / F.col("_s") + F.col("_s") * (F.col("_mean") - F.col("_avg")) * (F.col("_mean") - F.col("_avg"))
+    cells = cells.withColumn("_squares", F.greatest(F.sum(about).over(group), F.lit(0.0)))
+    own = ["n", "_avg", "_squares", "_min", "_max"]
     wanted = F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank")) for name, rank in ranks.items()])
     here = F.filter(wanted, lambda r: (r["rank"] <= F.col("_upto")) & (r["rank"] > F.col("_upto") - F.col("_s")))
-    cells = cells.withColumn("_r", here).where(F.size("_r") > 0).select(*keys, "_cell", "n", "_r", (F.col("_upto") - F.col("_s")).alias("_before"))
+    cells = cells.withColumn("_r", here).where(F.size("_r") > 0).select(*keys, "_cell", *own, "_r", (F.col("_upto") - F.col("_s")).alias("_before"))
     in_cell = Window.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     near = counts.join(cells, [*keys, "_cell"]).withColumn("_upto", F.col("_before") + F.sum("_c").over(in_cell))
-    at = near.select(*keys, "n", "_v", "_upto", "_c", F.explode("_r").alias("_r")).where((F.col("_r.rank") <= F.col("_upto")) & (F.col("_r.rank") > F.col("_upto") - F.col("_c")))
-    return at.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("_r.name") == name, F.col("_v"))).alias(name) for name in ranks])
+    at = near.select(*keys, *own, "_v", "_upto", "_c", F.explode("_r").alias("_r")).where((F.col("_r.rank") <= F.col("_upto")) & (F.col("_r.rank") > F.col("_upto") - F.col("_c")))
+    return at.groupBy(*keys, *own).agg(*[F.max(F.when(F.col("_r.name") == name, F.col("_v"))).alias(name) for name in ranks])
+
+
+def values_at(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+    """One row per group: keys, n and, for each name of ranks, the value at that rank (from 1, a column over n); null at rank null.
+
+    Null values don't count; groups without any have no row."""
+    return _ranked(value_counts(df, keys, value), list(keys), ranks).drop("_avg", "_squares", "_min", "_max")
+
+
+def medians(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Per group: n, mediana and dp (of a sample), unrounded."""
+    low, high = _middle(F.lit(1), F.col("n"))
+    found = _ranked(value_counts(df, keys, value), list(keys), {"_a": low, "_b": high})
+    return found.select(*keys, "n", ((F.col("_a") + F.col("_b")) / 2).alias("mediana"), F.when(F.col("n") > 1, F.sqrt(F.col("_squares") / (F.col("n") - 1))).alias("dp"))
 
 
 def _middle(first: Column, length: Column) -> tuple[Column, Column]:
@@ -51,13 +76,16 @@ def _middle(first: Column, length: Column) -> tuple[Column, Column]:
 def describe(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Per group: n, media, mediana, desvio and variancia (of a sample), q1 and q3 (medians of the halves, without the middle value
     of an odd number), iqr, minimo, maximo, cv. A single value has only media, mediana, minimo, maximo, unrounded; else 4 decimals."""
+    return _described(value_counts(df, keys, value), keys)
+
+
+def _described(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     n, half = F.col("n"), F.floor(F.col("n") / 2)
     ranks = {}
     for name, (low, high) in {"_m": _middle(F.lit(1), n), "_q": _middle(F.lit(1), half), "_t": _middle(n - half + 1, half)}.items():
         ranks |= {f"{name}1": F.when(n > 1, low).otherwise(1) if name == "_m" else F.when(n > 1, low), f"{name}2": F.when(n > 1, high).otherwise(1) if name == "_m" else F.when(n > 1, high)}
-    placed = values_at(df, keys, value, ranks)
-    moments = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.avg(value).alias("_avg"), F.stddev_samp(value).alias("_sd"), F.var_samp(value).alias("_var"), F.min(value).alias("_min"), F.max(value).alias("_max"))
-    both = placed.join(moments, list(keys))
+    variance = F.when(n > 1, F.col("_squares") / (n - 1))
+    both = _ranked(counts, list(keys), ranks).withColumns({"_var": variance, "_sd": F.sqrt(variance)})
     r4 = lambda c: F.when(F.col("n") > 1, fixed(c, 4)).otherwise(c)
     q1, q3 = (F.col("_q1") + F.col("_q2")) / 2, (F.col("_t1") + F.col("_t2")) / 2
     cv = F.when((F.col("n") > 1) & (F.col("_avg") != 0), fixed(F.col("_sd") / F.col("_avg"), 4))
@@ -91,11 +119,23 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, percents: Sequen
     return placed.select(*keys, "n", *[(F.col(f"_{p}a") + (F.col(f"_{p}b") - F.col(f"_{p}a")) * (k[p] - F.floor(k[p]))).alias(f"p{p}") for p in percents])
 
 
+def _fences(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """_described() with baixo and alto of the quartile rule."""
+    spread = LIMITS["iqr"] * (F.col("_q3_exact") - F.col("_q1_exact"))
+    return _described(counts, keys).withColumns({"baixo": F.col("_q1_exact") - spread, "alto": F.col("_q3_exact") + spread})
+
+
+def _fenced(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """counts with _all (values of the group), _cv and _out; whether a value is an outlier depends on the value alone."""
+    limits = _fences(counts, keys).select(*keys, F.col("n").alias("_all"), F.col("cv").alias("_cv"), "baixo", "alto")
+    out = F.coalesce((F.col("_v") < F.col("baixo")) | (F.col("_v") > F.col("alto")), F.lit(False))
+    return counts.join(limits, list(keys)).withColumn("_out", out).drop("baixo", "alto")
+
+
 def bounds(df: DataFrame, keys: Sequence[str], value: str, method: str = "iqr") -> DataFrame:
     """Per group: n, baixo and alto, beyond which a value is an outlier; null where a group has too few values."""
     if method == "iqr":
-        spread = LIMITS["iqr"] * (F.col("_q3_exact") - F.col("_q1_exact"))
-        return describe(df, keys, value).select(*keys, "n", (F.col("_q1_exact") - spread).alias("baixo"), (F.col("_q3_exact") + spread).alias("alto"))
+        return _fences(value_counts(df, keys, value), keys).select(*keys, "n", "baixo", "alto")
     if method == "percentil":
         low, high = LIMITS["percentil"]
         found = percentiles(df, keys, value, (low, high))
@@ -116,12 +156,14 @@ def outliers(df: DataFrame, keys: Sequence[str], value: str, method: str = "iqr"
 
 
 def reference_price(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Per group: preco_referencia (median without outliers), confianca, n_amostras, n_excluidos, cv."""
-    marked = outliers(df.where(F.col(value).isNotNull()), keys, value, "iqr")
-    total = marked.groupBy(*keys).agg(F.count("*").alias("_all"), F.count_if("outlier").alias("_out"))
-    marked = marked.join(total, list(keys))
-    kept = marked.where(~F.col("outlier") | (F.col("_all") == F.col("_out")))
-    found = described(kept, keys, value).join(total, list(keys))
+    """Per group: preco_referencia (median without outliers), confianca, n_amostras, n_excluidos, cv. The quartiles lie between the
+    limits, so no group loses all of its values."""
+    return _reference(value_counts(df, keys, value), keys)
+
+
+def _reference(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    kept = _fenced(counts, keys).where(~F.col("_out")).select(*keys, "_all", "_v", "_c")
+    found = _described(kept, [*keys, "_all"])
     n, cv = F.col("n"), F.col("cv")
     sure = F.when((n >= 10) & (cv < 0.3), "ALTA").when(n >= 5, "MEDIA").when(n >= 2, "BAIXA").otherwise("INSUFICIENTE")
     return found.select(*keys, F.col("mediana").alias("preco_referencia"), sure.alias("confianca"), n.alias("n_amostras"), (F.col("_all") - n).alias("n_excluidos"), "cv")
@@ -135,7 +177,8 @@ def gated(df: DataFrame, value: str = "preco", score: str = "score", least: floa
 def unit_summary(df: DataFrame, value: str = "preco", unit: str = "unidade", score: str = "score") -> DataFrame:
     """Statistics and reference price per unit, over rows that pass the gate; no unit is SEM_UNIDADE."""
     rows = gated(df, value, score).withColumn(unit, F.coalesce(F.nullif(F.col(unit), F.lit("")), F.lit("SEM_UNIDADE")))
-    return described(rows, [unit], value).join(reference_price(rows, [unit], value).drop("cv"), unit)
+    counts = value_counts(rows, [unit], value)
+    return _described(counts, [unit]).drop("_q1_exact", "_q3_exact").join(_reference(counts, [unit]).drop("cv"), unit)
 
 
 def state_counts(df: DataFrame, state: str = "uf", value: str = "preco", score: str = "score") -> DataFrame:
@@ -152,8 +195,8 @@ def calibration(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 def sample_quality(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Per group: n, n_outliers, pct_outliers, cv, nivel and recomendacoes (array)."""
-    marked = outliers(df.where(F.col(value).isNotNull()), keys, value, "iqr")
-    found = marked.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("outlier").alias("n_outliers"), fixed(F.try_divide(F.stddev_samp(value), F.avg(value)), 4).alias("cv"))
+    marked = _fenced(value_counts(df, keys, value), keys)
+    found = marked.groupBy(*keys, F.col("_all").alias("n"), F.col("_cv").alias("cv")).agg(F.coalesce(F.sum(F.when(F.col("_out"), F.col("_c"))), F.lit(0).cast("long")).alias("n_outliers"))
     n, cv = F.col("n"), F.col("cv")
     found = found.withColumn("pct_outliers", fixed(F.col("n_outliers") / n * 100, 2))
     level = F.when((cv < 0.15) & (n >= 10), "EXCELENTE").when((cv < 0.3) & (n >= 5), "BOM").when(n >= 3, "REGULAR").otherwise("INSUFICIENTE")

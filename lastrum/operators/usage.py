@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,29 +55,35 @@ def metering(events: DataFrame, plans: DataFrame, user: str = "user_id", ts: str
 
 
 def rate_limited(requests: DataFrame, key: str, ts: str, order: str, limit: int, seconds: float) -> DataFrame:
-    """(key, order, ts, n_janela, reset_em, permitido): each request's number in its window, and when that ends.
+    """(key, order, ts, n_janela, reset_em, permitido): each request's number in its window, and when that ends; null where ts is.
 
-    A window begins with the first request after the last window, so requests are folded in order. After a gap as long as a
-    window the next request always begins one: requests are cut there, and each run without such a gap is folded by itself.
+    A window begins with the first request after the last window, so requests are folded in order: those of a key are sorted in
+    one partition and read as a stream, of which only the last key, count and end are held.
     """
-    span = pd.Timedelta(seconds=seconds)
-    by_time = Window.partitionBy(key).orderBy(ts, order)
-    gap = F.col(ts) >= F.lag(ts).over(by_time) + F.expr(f"INTERVAL {seconds} SECONDS")
-    runs = requests.select(key, order, ts, F.coalesce(gap, F.lit(True)).alias("_new")).withColumn("_run", F.count_if("_new").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([ts, order])
-        counts, resets, count, reset = [], [], 0, None
-        for t in rows[ts]:
-            count, reset = (1, t + span) if reset is None or t >= reset else (count + 1, reset)
-            counts.append(count)
-            resets.append(reset)
-        out = rows[[key, order, ts]].assign(n_janela=counts, reset_em=resets)
-        return out.assign(permitido=out["n_janela"] <= limit)
+    span = round(seconds * 1_000_000)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, count, reset = object(), 0, 0
+        for batch in batches:
+            times = batch.column(ts)
+            counts, resets = [], []
+            for k, t in zip(batch.column(key).to_pylist(), times.cast(pa.timestamp("us", times.type.tz)).cast(pa.int64()).to_pylist(), strict=True):
+                if t is None:
+                    counts.append(None)
+                    resets.append(None)
+                    continue
+                if k != last or t >= reset:
+                    last, count, reset = k, 0, t + span
+                count += 1
+                counts.append(count)
+                resets.append(reset)
+            ends = pa.array(resets, pa.int64()).cast(pa.timestamp("us", times.type.tz))
+            allowed = pa.array([None if n is None else n <= limit for n in counts], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column(order), times, pa.array(counts, pa.int64()), ends, allowed], [key, order, ts, "n_janela", "reset_em", "permitido"])
 
     kinds = dict(requests.dtypes)
     schema = f"{key} {kinds[key]}, {order} {kinds[order]}, {ts} {kinds[ts]}, n_janela bigint, reset_em {kinds[ts]}, permitido boolean"
-    return runs.groupBy(key, "_run").applyInPandas(fold, schema)
+    return requests.select(key, order, ts).repartition(key).sortWithinPartitions(key, ts, order).mapInArrow(fold, schema)
 
 
 def requests_per_day(events: DataFrame, first: str, last: str, ts: str = "ts") -> DataFrame:

@@ -375,7 +375,7 @@ _MEDIANS = f"{PRICES}, med AS (SELECT descricao, median(preco) AS mediana FROM p
 
 def _against_median(spark, sf_dir):
     every = prices(spark, sf_dir)
-    medians = every.where("processado").groupBy("descricao").agg(F.median("preco").alias("mediana"))
+    medians = stats.medians(every.where("processado"), ["descricao"], "preco").select("descricao", "mediana")
     return every.where("NOT processado").join(medians, "descricao")
 
 
@@ -390,20 +390,21 @@ def q_saving(spark, sf_dir):
     return rounded(s.select("item_id", "s.unitaria", "s.total", "s.percentual", "s.viavel"), 4, "unitaria", "total", "percentual")
 
 
-_REFS = """refs AS (SELECT categoria, uf, median(preco) AS mediana, stddev_samp(preco) AS dp, count(*) AS n FROM prices WHERE processado AND uf < 'NATION_2' AND categoria <> 'PROMO' GROUP BY 1, 2),
-    means AS (SELECT categoria, avg(mediana) AS mediana, avg(dp) AS dp, CAST(sum(n) AS BIGINT) AS n FROM refs GROUP BY 1)"""
-_ALERTS = f"""{PRICES}, {_REFS}, al AS (SELECT p.item_id, p.categoria, p.uf, preco, coalesce(r.mediana, m.mediana) AS med, coalesce(r.dp, m.dp) AS dp, coalesce(r.n, m.n) AS n FROM prices p
+# Every processed price is in the reference. A state with prices has its own median and spread; without spread the percentile goes by the side.
+_ALERTS = f"""{PRICES}, refs AS (SELECT categoria, uf, median(preco) AS mediana, stddev_samp(preco) AS dp, count(*) AS n FROM prices WHERE processado GROUP BY 1, 2),
+    means AS (SELECT categoria, avg(mediana) AS mediana, avg(dp) AS dp, CAST(sum(n) AS BIGINT) AS n FROM refs GROUP BY 1),
+    al AS (SELECT p.item_id, p.categoria, p.uf, preco, coalesce(r.mediana, m.mediana) AS med, CASE WHEN r.n IS NULL THEN m.dp ELSE r.dp END AS dp, coalesce(r.n, m.n) AS n FROM prices p
       LEFT JOIN refs r ON r.categoria = p.categoria AND r.uf = p.uf LEFT JOIN means m ON m.categoria = p.categoria WHERE NOT processado),
-    av AS (SELECT *, CASE WHEN med IS NOT NULL THEN round((preco - med) / med * 100, 2) END AS desvio_pct, (preco - med) / dp AS z FROM al),
+    av AS (SELECT *, CASE WHEN med IS NOT NULL THEN round((preco - med) / med * 100, 2) END AS desvio_pct, CASE WHEN dp > 0 THEN (preco - med) / dp END AS z FROM al),
     ap AS (SELECT *, 1 / (1 + 0.2316419::DOUBLE * abs(z)) AS t FROM av),
     aq AS (SELECT *, t * (0.319381530::DOUBLE + t * (-0.356563782::DOUBLE + t * (1.781477937::DOUBLE + t * (-1.821255978::DOUBLE + t * 1.330274429::DOUBLE)))) * 0.3989422804014327::DOUBLE * exp(-z * z / 2) AS tail FROM ap),
-    alerts AS (SELECT *, CASE WHEN z < -3 THEN 1 WHEN z > 3 THEN 99 ELSE CAST(greatest(1, least(99, floor(CASE WHEN z >= 0 THEN 1 - tail ELSE tail END * 100))) AS INT) END AS percentil,
+    alerts AS (SELECT *, CASE WHEN z IS NULL THEN CASE WHEN preco = med THEN 50 WHEN preco > med THEN 99 ELSE 1 END WHEN z < -3 THEN 1 WHEN z > 3 THEN 99 ELSE CAST(greatest(1, least(99, floor(CASE WHEN z >= 0 THEN 1 - tail ELSE tail END * 100))) AS INT) END AS percentil,
       CASE WHEN med IS NULL THEN 'SEM_REFERENCIA' WHEN desvio_pct > 50 THEN 'CRITICO' WHEN desvio_pct > 25 THEN 'ATENCAO' ELSE 'NORMAL' END AS status FROM aq)"""
 
 
-def _alerted(spark, sf_dir, sources="processado AND uf < 'NATION_2' AND categoria <> 'PROMO'"):
+def _alerted(spark, sf_dir):
     every = prices(spark, sf_dir)
-    reference = every.where(sources).groupBy("categoria", "uf").agg(F.median("preco").alias("mediana"), F.stddev_samp("preco").alias("dp"), F.count("*").alias("n"))
+    reference = stats.medians(every.where("processado"), ["categoria", "uf"], "preco")
     return usage.alerts(every.where("NOT processado"), reference)
 
 
@@ -422,31 +423,19 @@ def q_alert_report(spark, sf_dir):
     return _alerted(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
 
 
-# The same three with every processed price in the reference. A state with prices has its own median and spread; without spread the percentile goes by the side.
-_ALL_ALERTS = f"""{PRICES}, refs AS (SELECT categoria, uf, median(preco) AS mediana, stddev_samp(preco) AS dp, count(*) AS n FROM prices WHERE processado GROUP BY 1, 2),
-    means AS (SELECT categoria, avg(mediana) AS mediana, avg(dp) AS dp, CAST(sum(n) AS BIGINT) AS n FROM refs GROUP BY 1),
-    al AS (SELECT p.item_id, p.categoria, p.uf, preco, coalesce(r.mediana, m.mediana) AS med, CASE WHEN r.n IS NULL THEN m.dp ELSE r.dp END AS dp, coalesce(r.n, m.n) AS n FROM prices p
-      LEFT JOIN refs r ON r.categoria = p.categoria AND r.uf = p.uf LEFT JOIN means m ON m.categoria = p.categoria WHERE NOT processado),
-    av AS (SELECT *, CASE WHEN med IS NOT NULL THEN round((preco - med) / med * 100, 2) END AS desvio_pct, CASE WHEN dp > 0 THEN (preco - med) / dp END AS z FROM al),
-    ap AS (SELECT *, 1 / (1 + 0.2316419::DOUBLE * abs(z)) AS t FROM av),
-    aq AS (SELECT *, t * (0.319381530::DOUBLE + t * (-0.356563782::DOUBLE + t * (1.781477937::DOUBLE + t * (-1.821255978::DOUBLE + t * 1.330274429::DOUBLE)))) * 0.3989422804014327::DOUBLE * exp(-z * z / 2) AS tail FROM ap),
-    alerts AS (SELECT *, CASE WHEN z IS NULL THEN CASE WHEN preco = med THEN 50 WHEN preco > med THEN 99 ELSE 1 END WHEN z < -3 THEN 1 WHEN z > 3 THEN 99 ELSE CAST(greatest(1, least(99, floor(CASE WHEN z >= 0 THEN 1 - tail ELSE tail END * 100))) AS INT) END AS percentil,
-      CASE WHEN med IS NULL THEN 'SEM_REFERENCIA' WHEN desvio_pct > 50 THEN 'CRITICO' WHEN desvio_pct > 25 THEN 'ATENCAO' ELSE 'NORMAL' END AS status FROM aq)"""
-
-
-@query(f"WITH {_ALL_ALERTS} SELECT item_id, round(med, 4) AS mediana, n, desvio_pct, CASE WHEN med IS NOT NULL THEN percentil END AS percentil, status FROM alerts")
+@query(f"WITH {_ALERTS} SELECT item_id, round(med, 4) AS mediana, n, desvio_pct, CASE WHEN med IS NOT NULL THEN percentil END AS percentil, status FROM alerts")
 def q_price_alerts_b_all(spark, sf_dir):
-    return rounded(_alerted(spark, sf_dir, "processado").select("item_id", "mediana", "n", "desvio_pct", "percentil", "status"), 4, "mediana")
+    return rounded(_alerted(spark, sf_dir).select("item_id", "mediana", "n", "desvio_pct", "percentil", "status"), 4, "mediana")
 
 
-@query(f"""WITH {_ALL_ALERTS} SELECT categoria, {", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in usage.STATUSES)} FROM alerts WHERE status <> 'SEM_REFERENCIA' GROUP BY 1""")
+@query(f"""WITH {_ALERTS} SELECT categoria, {", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in usage.STATUSES)} FROM alerts WHERE status <> 'SEM_REFERENCIA' GROUP BY 1""")
 def q_alert_stats_pivot_all(spark, sf_dir):
-    return usage.alert_statistics(_alerted(spark, sf_dir, "processado"), "categoria")
+    return usage.alert_statistics(_alerted(spark, sf_dir), "categoria")
 
 
-@query(f"WITH {_ALL_ALERTS} SELECT status, count(*) AS n FROM alerts GROUP BY 1")
+@query(f"WITH {_ALERTS} SELECT status, count(*) AS n FROM alerts GROUP BY 1")
 def q_alert_report_all(spark, sf_dir):
-    return _alerted(spark, sf_dir, "processado").groupBy("status").agg(F.count("*").alias("n"))
+    return _alerted(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {PRICES} SELECT item_id, CAST(least(10 + 5 + 5 + CASE tipo_objeto WHEN 'material' THEN 30 WHEN 'servico' THEN 15 ELSE 0 END + CASE WHEN atipico THEN 0 ELSE 20 END + 15 + 10 + CASE WHEN score > CAST(0.8 AS DOUBLE) THEN 5 ELSE 0 END, 100) AS INT) AS pontos FROM prices""")

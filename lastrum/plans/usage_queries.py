@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lastrum.functions.numbers import fixed
 from lastrum.operators import usage
-from lastrum.plans.domain import read
+from lastrum.plans.domain import read, shared_dir
 from lastrum.plans.registry import Registry
 from lastrum.streaming import jobs
 
@@ -96,7 +96,7 @@ def q_audit_page(spark, sf_dir):
     WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= w GROUP BY 1, 2""")
 def q_stream_metrics(spark, sf_dir):
     """The windows that the watermark has closed, from a stream over the event files."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
+    base = shared_dir(spark).rstrip("/")
     out = f"{base}/lastrum/{uuid.uuid4().hex}"
     stream = spark.readStream.schema(_events(spark, sf_dir).schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     job = jobs.request_metrics(stream).writeStream.format("parquet").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(f"{out}/rows")

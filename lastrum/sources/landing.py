@@ -75,14 +75,16 @@ def items(raw: DataFrame) -> DataFrame:
     )
 
 
-def get_json(url: str, tries: int = 3, wait: Callable[[float], None] = time.sleep, open_url=urllib.request.urlopen):
-    """The decoded answer; None for no content and for an HTTP error, which is not tried again. Time-outs and broken connections
+def get_json(url: str, tries: int = 3, wait: Callable[[float], None] = time.sleep, open_url=urllib.request.urlopen, strict: bool = False):
+    """The decoded answer; None for no content and, unless strict, for an HTTP error, which is not tried again. Time-outs and broken connections
     are, after 1, 2, 4 ... seconds; the last one is raised, and Spark then runs the task again."""
     for attempt in range(tries):
         try:
             with open_url(url, timeout=30) as answer:
                 return None if answer.status == 204 else json.loads(answer.read() or "null")
         except urllib.error.HTTPError:
+            if strict:
+                raise
             return None
         except OSError:
             if attempt == tries - 1:
@@ -92,7 +94,7 @@ def get_json(url: str, tries: int = 3, wait: Callable[[float], None] = time.slee
 
 
 class PagePartition(InputPartition):
-    def __init__(self, state: str, first: int, last: int):
+    def __init__(self, state: str, first: int, last: int | None):
         self.state, self.first, self.last = state, first, last
 
 
@@ -101,24 +103,29 @@ class ContractReader(DataSourceReader):
         self.options = options
 
     def partitions(self) -> list[PagePartition]:
-        pages, each = int(self.options.get("pages", 1)), int(self.options.get("pagesPerTask", 10))
         states = [s for s in self.options.get("states", "").split(",") if s]
+        if "pages" not in self.options:
+            return [PagePartition(s, 1, None) for s in states]
+        pages, each = int(self.options["pages"]), int(self.options.get("pagesPerTask", 10))
         return [PagePartition(s, p, min(pages, p + each - 1)) for s in states for p in range(1, pages + 1, each)]
 
     def read(self, partition: PagePartition) -> Iterator[tuple]:
-        for page in range(partition.first, partition.last + 1):
+        page = partition.first
+        while partition.last is None or page <= partition.last:
             url = self.options["url"].format(state=partition.state, page=page, since=self.options.get("since", ""), until=self.options.get("until", ""))
-            answer = get_json(url) or {}
+            answer = get_json(url, strict=True) or {}
             if page > (answer.get("totalPaginas") or 0):
                 return
             for row in answer.get("data") or []:
                 yield partition.state, page, json.dumps(row, ensure_ascii=False)
+            page += 1
 
 
 class ContractSource(DataSource):
     """spark.dataSource.register(ContractSource); spark.read.format("contracts").option("url", "https://host/{state}/{page}")...
 
-    A task reads a range of pages of one state; it stops at the last page that the answers name."""
+    Without the option pages, a task reads all pages of a state, to the last that the answers name; with it, a range of them. A
+    page that can't be had fails the task, so a result is never short of a page."""
 
     @classmethod
     def name(cls) -> str:
