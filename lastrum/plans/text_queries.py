@@ -301,7 +301,7 @@ def q_stratified_sample(spark, sf_dir):
     return quality.stratified(read(spark, sf_dir, "part"), "p_type", "p_partkey", 200)
 
 
-@query("SELECT CAST(0 AS INT) AS n_problemas")
+@query(f"WITH {PRICES} SELECT CAST((count(preco) = 0)::INT + (count(DISTINCT categoria) = 0)::INT + (count(DISTINCT uf) = 0)::INT AS INT) AS n_problemas FROM prices")
 def q_integrity(spark, sf_dir):
     return quality.integrity(prices(spark, sf_dir)).select(F.size("problemas").alias("n_problemas"))
 
