@@ -169,6 +169,12 @@ def _reference(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     return found.select(*keys, F.col("mediana").alias("preco_referencia"), sure.alias("confianca"), n.alias("n_amostras"), (F.col("_all") - n).alias("n_excluidos"), "cv")
 
 
+def summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """described() and, from the same table of counts, reference_price() of each group; cv is that of all its values."""
+    counts = value_counts(df, keys, value)
+    return _described(counts, keys).drop("_q1_exact", "_q3_exact").join(_reference(counts, keys).drop("cv"), list(keys))
+
+
 def gated(df: DataFrame, value: str = "preco", score: str = "score", least: float = 30) -> DataFrame:
     """Rows with a sufficient score and a positive price; missing ones count as 0."""
     return df.where((F.coalesce(F.col(score), F.lit(0)) >= least) & (F.coalesce(F.col(value), F.lit(0.0)) > 0))
@@ -177,8 +183,7 @@ def gated(df: DataFrame, value: str = "preco", score: str = "score", least: floa
 def unit_summary(df: DataFrame, value: str = "preco", unit: str = "unidade", score: str = "score") -> DataFrame:
     """Statistics and reference price per unit, over rows that pass the gate; no unit is SEM_UNIDADE."""
     rows = gated(df, value, score).withColumn(unit, F.coalesce(F.nullif(F.col(unit), F.lit("")), F.lit("SEM_UNIDADE")))
-    counts = value_counts(rows, [unit], value)
-    return _described(counts, [unit]).drop("_q1_exact", "_q3_exact").join(_reference(counts, [unit]).drop("cv"), unit)
+    return summary(rows, [unit], value)
 
 
 def state_counts(df: DataFrame, state: str = "uf", value: str = "preco", score: str = "score") -> DataFrame:

@@ -7,9 +7,9 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from lastrum.plans import ingestion_queries, price_queries, text_queries, usage_queries
+from lastrum.plans import ingestion_queries, pilot_queries, price_queries, text_queries, usage_queries
 
-REGISTRIES = (price_queries.registry, text_queries.registry, usage_queries.registry, ingestion_queries.registry)
+REGISTRIES = (price_queries.registry, text_queries.registry, usage_queries.registry, ingestion_queries.registry, pilot_queries.registry)
 QUERIES = {k: v for r in REGISTRIES for k, v in r.queries.items()}
 ORACLES = {k: v for r in REGISTRIES for k, v in r.oracles.items()}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
