@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lastrum.llm import decontaminate, exact_dedup, html_text, licenses, mixing, near_dedup, quality, secrets, toxicity, url_filter
+from lastrum.llm import decontaminate, exact_dedup, filter_audit, html_text, licenses, mixing, near_dedup, quality, secrets, toxicity, url_filter
 from lastrum.llm.shared import table
 
 
@@ -51,6 +51,10 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 #: A-Z to a-z only, in DuckDB.
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -74,6 +78,24 @@ ORACLES = {
     """,
 }
 
+ORACLES["op11_filter_audit"] = r"""
+    WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+    l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+    m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+        concat(CASE WHEN len(words) < 100 THEN 'A' END, CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' END,
+               CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' END, CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END,
+               CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' END) AS fails FROM d LEFT JOIN l USING (doc_id)),
+    c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY 1, 2),
+    f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+    o AS (SELECT a.f || b.f || x.f || y.f || z.f AS filter_order FROM f a, f b, f x, f y, f z WHERE len(list_distinct([a.f, b.f, x.f, y.f, z.f])) = 5),
+    s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS own, CASE WHEN step > 1 THEN '[' || left(filter_order, step - 1) || ']' ELSE '0' END AS earlier FROM o, (SELECT unnest([1, 2, 3, 4, 5])::INT AS step)),
+    r AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT regexp_matches(fails, earlier) AND NOT contains(fails, own)), 0)::BIGINT AS kept,
+        coalesce(sum(n) FILTER (NOT regexp_matches(fails, earlier) AND contains(fails, own)), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (regexp_matches(fails, earlier) AND contains(fails, own)), 0)::BIGINT AS redundant,
+        coalesce(sum(n) FILTER (fails = own), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (NOT regexp_matches(fails, earlier) AND contains(fails, own)), 0)::BIGINT AS good_lost,
+        coalesce(sum(toxic) FILTER (NOT regexp_matches(fails, earlier) AND contains(fails, own)), 0)::BIGINT AS toxic_lost FROM c, s GROUP BY ALL)
+    SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM r
+"""
+
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_quality": op2_quality,
@@ -85,4 +107,5 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_near_dedup": op9_near_dedup,
     "op10_mix_sources": op10_mix_sources,
+    "op11_filter_audit": op11_filter_audit,
 }
