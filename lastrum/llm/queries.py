@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lastrum.llm import decontaminate, exact_dedup, filter_audit, html_text, licenses, mixing, near_dedup, quality, secrets, toxicity, url_filter
+from lastrum.llm import decontaminate, exact_dedup, filter_audit, html_text, licenses, manifest, mixing, near_dedup, quality, secrets, toxicity, url_filter, warc
 from lastrum.llm.shared import table
 
 
@@ -55,6 +55,14 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents")).drop("source", "place", "path")
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 #: A-Z to a-z only, in DuckDB.
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -96,6 +104,49 @@ ORACLES["op11_filter_audit"] = r"""
     SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM r
 """
 
+
+
+def _written(value: str) -> str:
+    return f"coalesce(strlen({value}) || ':' || {value}, '-')"
+
+
+def _tree(level: str, key: str, levels: int) -> str:
+    """Tables {level}1 to {level}{levels} over {level}0(key, p, n, d): a node alone on its level stays as it is."""
+    up = f"CASE WHEN any_value(n) = 1 THEN any_value(d) ELSE sha256(string_agg(d, '' ORDER BY p)) END"
+    return ", ".join(f"{level}{k} AS (SELECT {key}, p // 16 AS p, ceil(any_value(n) / 16)::BIGINT AS n, {up} AS d FROM {level}{k - 1} GROUP BY {key}, p // 16)" for k in range(1, levels + 1))
+
+
+def _fold(level: str, key: str, k: int) -> str:
+    """Of a node q at level k: what its parent is with the digest f, and the siblings."""
+    run = f"FROM {level}{k} s WHERE s.{key} IS NOT DISTINCT FROM q.{key} AND s.p // 16 = q.p // 16"
+    return f"CASE WHEN n = 1 THEN f ELSE sha256(coalesce((SELECT string_agg(s.d, '' ORDER BY s.p) {run} AND s.p < q.p), '') || f || coalesce((SELECT string_agg(s.d, '' ORDER BY s.p) {run} AND s.p > q.p), '')) END AS f, proof || coalesce((SELECT string_agg(s.d, '' ORDER BY s.p) {run} AND s.p <> q.p), '') AS proof"
+
+
+#: Enough levels for 16 to this power rows of a source, and sources.
+_DEEP = 6
+_WALK = ", ".join(f"w{k + 1} AS (SELECT doc_id, src, p // 16 AS p, ceil(n / 16)::BIGINT AS n, {_fold('a', 'src', k)} FROM w{k} q)" for k in range(_DEEP))
+_WALK_TOP = ", ".join(f"v{k + 1} AS (SELECT doc_id, src, one, p // 16 AS p, ceil(n / 16)::BIGINT AS n, {_fold('b', 'one', k)} FROM v{k} q)" for k in range(_DEEP))
+#: The checksum of the decimal id, bit by bit.
+_CRC = "xor(list_reduce(list_concat([4294967295::UBIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: list_concat([ascii(c)::UBIGINT], [0::UBIGINT, 0, 0, 0, 0, 0, 0])))), lambda c, x: xor(xor(c, x) >> 1, 3988292384::UBIGINT * (xor(c, x) & 1))), 4294967295::UBIGINT)"
+_HEAD = " || ".join(map(_written, ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR")))
+
+ORACLES["op12_merkle_manifest"] = f"""
+    WITH l AS (SELECT doc_id, source AS src, sha256({_HEAD} || {_written('text')}) AS d, CASE WHEN {_CRC} % 5 = 0 AND text IS NOT NULL THEN sha256({_HEAD} || {_written(LOWER.replace("coalesce(text, '')", "text"))}) END AS forged FROM documents),
+    t0 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY src ORDER BY doc_id NULLS FIRST, d) - 1 AS p, count(*) OVER (PARTITION BY src) AS n FROM l),
+    a0 AS (SELECT src, p, n, d FROM t0), {_tree('a', 'src', _DEEP)},
+    b0 AS (SELECT 0 AS one, src, row_number() OVER (ORDER BY encode(src) NULLS FIRST) - 1 AS p, count(*) OVER () AS n, d FROM a{_DEEP}), {_tree('b', 'one', _DEEP)},
+    w0 AS (SELECT doc_id, src, p, n, coalesce(forged, d) AS f, '' AS proof FROM t0), {_WALK},
+    v0 AS (SELECT w.doc_id, w.src, 0 AS one, b0.p, b0.n, w.f, w.proof FROM (SELECT *, row_number() OVER () AS k FROM w{_DEEP}) w JOIN b0 ON b0.src IS NOT DISTINCT FROM w.src), {_WALK_TOP}
+    SELECT t0.doc_id, t0.d AS leaf, b0.d AS subroot, b{_DEEP}.d AS root, sha256(v.proof) AS proof_sha256, v.f AS folded_root, v.f = b{_DEEP}.d AS verified
+    FROM v{_DEEP} v JOIN t0 ON t0.doc_id = v.doc_id JOIN b0 ON b0.src IS NOT DISTINCT FROM t0.src, b{_DEEP}
+"""
+
+ORACLES["op13_warc"] = """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages), k AS (SELECT *, CASE WHEN strlen(t) >= 1000 THEN max(page_id) OVER (PARTITION BY t) END AS keep FROM p),
+    r AS (SELECT *, keep IS NOT NULL AND keep IS DISTINCT FROM page_id AS again FROM k)
+    SELECT page_id, strlen(t)::BIGINT AS payload_bytes, sha1(t) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN keep END AS refers_to FROM r
+"""
+
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_quality": op2_quality,
@@ -108,4 +159,6 @@ QUERIES = {
     "op9_near_dedup": op9_near_dedup,
     "op10_mix_sources": op10_mix_sources,
     "op11_filter_audit": op11_filter_audit,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_warc": op13_warc,
 }
