@@ -156,8 +156,8 @@ class Inflated:
             if self.inner.eof:
                 self.packed = (self.inner.unused_data or self.packed).lstrip(b"\0")
                 self.inner, self.begun = zlib.decompressobj(31), False
-            while not self.packed and (self.packed := self.source.read(PIECE)) and not self.begun:
-                self.packed = self.packed.lstrip(b"\0")  # padding between streams
+            while not self.packed and (got := self.source.read(PIECE)):
+                self.packed = got if self.begun else got.lstrip(b"\0")  # padding between streams
             if not self.packed:
                 if self.begun:
                     raise ValueError("a gzip stream breaks off")
