@@ -6,16 +6,34 @@ ln(N / (1 + df)) + 1 over the corpus, weights are tf idf with an L2 norm of 1, a
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from lastrum.functions.numbers import fixed
 from lastrum.functions.text import tokens
+from lastrum.operators.tables import save, small, spread
 
 
 def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf)"""
-    return docs.select(key, F.explode(tokens(text)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """(key, term, tf). Terms are counted where their document is read, so nothing is shuffled: key is that of one row."""
+    kind = docs.schema[key].dataType
+
+    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):  # few texts as Python objects at once
+                few = batch.slice(at, 256)
+                each = [Counter(words) for words in few.column(1).to_pylist()]
+                n = pa.array([i for i, counts in enumerate(each) for _ in counts], pa.int64())
+                columns = [few.column(0).take(n), pa.array([t for counts in each for t in counts], pa.string()), pa.array([f for counts in each for f in counts.values()], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, [key, "term", "tf"])
+
+    schema = StructType([StructField(key, kind), StructField("term", StringType()), StructField("tf", LongType())])
+    return spread(docs.select(key, tokens(text).alias("_words"))).mapInArrow(counted, schema)
 
 
 def idf(counts: DataFrame, n_docs: int) -> DataFrame:
@@ -31,8 +49,8 @@ def weights(counts: DataFrame, idfs: DataFrame, key: str) -> DataFrame:
 
 
 def tfidf(docs: DataFrame, key: str, text: str) -> DataFrame:
-    counts = term_counts(docs, key, text)
-    return weights(counts, idf(counts, docs.count()), key)
+    counts = save(term_counts(docs, key, text), "term_counts")
+    return weights(counts, small(idf(counts, docs.count())), key)
 
 
 def semantic_scores(queries: DataFrame, docs: DataFrame, query_key: str, key: str, text: str, query_text: str = "text") -> DataFrame:
@@ -40,11 +58,11 @@ def semantic_scores(queries: DataFrame, docs: DataFrame, query_key: str, key: st
 
     Document terms are weighed once: their squares sum to the norms, which are joined with the pairs found, and only the terms
     that some query has meet the queries."""
-    counts = term_counts(docs, key, text)
-    idfs = idf(counts, docs.count())
+    counts = save(term_counts(docs, key, text), "term_counts")
+    idfs = small(save(idf(counts, docs.count()), "idf"))
     raw = counts.join(idfs, "term").withColumn("w", F.col("tf") * F.col("idf"))
     norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).where("norm > 0")
-    q = weights(term_counts(queries, query_key, query_text), idfs, query_key).withColumnRenamed("weight", "qw")
+    q = small(save(weights(term_counts(queries, query_key, query_text), idfs, query_key).withColumnRenamed("weight", "qw"), "query_weights"))
     dots = raw.join(q, "term").groupBy(query_key, key).agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
     return dots.join(norms, key).select(query_key, key, F.least(fixed(F.col("dot") / F.col("norm"), 6), F.lit(1.0)).alias("score"))
 

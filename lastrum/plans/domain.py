@@ -6,11 +6,11 @@ of an item come from its part. Lines with status F are processed price sources,
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lastrum.operators.tables import shared_dir
+
 # Descriptions and units that the text rules are applied to; each part gets one by its number.
 DESCRIPTIONS = (
     "Papel A4 75g branco, conforme edital; pacote com 500 folhas",
@@ -38,17 +38,6 @@ UNITS = ("UND", "unidade", "Caixa", "LITRO", "quilograma", "PEÇA", "UN.", "XPTO
 STATES = ("BA", "PE", "CE", "PA", "RS", "SP", "MG")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, by spark.checkpoint.dir. Where it is unset, a session whose executors are threads of the
-    driver uses a folder of its own; any other raises ValueError."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.split("[")[0] == "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"file://{tempfile.mkdtemp(prefix='spark-')}"
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

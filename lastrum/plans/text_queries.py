@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lastrum.functions import pricing, rules, text
 from lastrum.functions.numbers import fixed
-from lastrum.operators import quality, search
+from lastrum.operators import quality, ranked, search
 from lastrum.plans.domain import PARTS, PRICES, described_parts, prices, quoted, read
 from lastrum.plans.price_queries import rounded
 from lastrum.plans.registry import Registry
@@ -335,6 +335,12 @@ def q_semantic_topk(spark, sf_dir):
     return search.top_k(scored, "item_id", "doc_id", 5)
 
 
+@query(f"WITH {_TFIDF}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS posicao FROM scores WHERE score > 0) SELECT item_id, doc_id, score, CAST(posicao AS INT) AS posicao FROM r WHERE posicao <= 20")
+def q_ranked_index(spark, sf_dir):
+    """The best 20 by an index of blocks, which most postings stay closed in."""
+    return ranked.top(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents"), "item_id", "doc_id", 20)
+
+
 #: Texts that are searched for: one that documents hold, and a longer one.
 EXACT, PHRASE = "all rights reserved", "all rights reserved by the author"
 _WORDS = text.query_words(PHRASE)
