@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lastrum.functions import pricing, rules, text
 from lastrum.functions.numbers import fixed
-from lastrum.operators import quality, ranked, search
+from lastrum.operators import grams, quality, ranked, search
 from lastrum.plans.domain import PARTS, PRICES, described_parts, prices, quoted, read
 from lastrum.plans.price_queries import rounded
 from lastrum.plans.registry import Registry
@@ -356,6 +356,18 @@ def q_fulltext(spark, sf_dir):
     return search.full_text(read(spark, sf_dir, "documents"), "text", EXACT, _EXACT).select("doc_id", "score_relevancia")
 
 
+#: Characters of each benchmark item that are searched for.
+_HEAD = 40
+
+
+@query(f"SELECT item_id, doc_id FROM (SELECT item_id, lower(substr(text, 1, {_HEAD})) AS p FROM benchmark), documents WHERE contains(lower(text), p)")
+def q_substring_index(spark, sf_dir):
+    """Documents that contain the beginning of a benchmark item, by the index of trigrams."""
+    index = grams.build(read(spark, sf_dir, "documents"), "doc_id", "text")
+    found = grams.search(index, read(spark, sf_dir, "benchmark"), "item_id", F.substring("text", 1, _HEAD))
+    return found.select(F.col("pattern").alias("item_id"), F.col("key").alias("doc_id"))
+
+
 def _semantic(spark, sf_dir):
     one = spark.createDataFrame([(0, PHRASE)], "item_id long, text string")
     scored = search.semantic_scores(one, read(spark, sf_dir, "documents"), "item_id", "doc_id", "text")
