@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lastrum.functions.numbers import fixed
+from lastrum.operators import grams
+from lastrum.operators.tables import save
 
 STATES = 27
 
@@ -151,11 +153,16 @@ def benchmark_summary(prices: DataFrame) -> DataFrame:
 
 
 def lookup_category(names: DataFrame, table: DataFrame) -> DataFrame:
-    """For each nome the first categoria of table(ordem, categoria) that is equal to it, contains it or is contained in it,
-    whatever the case. The table is a small dimension, which Spark broadcasts for this theta join."""
-    a, b = F.lower("nome"), F.lower("categoria")
-    found = names.join(table, a.contains(b) | b.contains(a), "left")
-    return found.groupBy("nome").agg(F.min_by("categoria", "ordem").alias("categoria"))
+    """For each nome the first categoria of table(ordem, categoria) that is equal to it, contains it or is contained in it, whatever the
+    case; null where none is. Both sides may be large: each is searched for the other's texts by an index of trigrams."""
+    numbered = lambda df, c: save(df.select(c, *(x for x in df.columns if x != c)).withColumn("_n", F.monotonically_increasing_id()), c)
+    known = numbered(names.select("nome").distinct(), "nome")
+    categories = numbered(table.select("categoria", "ordem").where("categoria IS NOT NULL"), "categoria")
+    inside = grams.search(grams.build(known, "_n", "nome"), categories, "_n", "categoria").select(F.col("key").alias("_name"), F.col("pattern").alias("_category"))
+    around = grams.search(grams.build(categories, "_n", "categoria"), known, "_n", "nome").select(F.col("pattern").alias("_name"), F.col("key").alias("_category"))
+    found = inside.unionByName(around).join(categories.withColumnRenamed("_n", "_category"), "_category")
+    best = found.groupBy("_name").agg(F.min_by("categoria", "ordem").alias("categoria")).withColumnRenamed("_name", "_n")
+    return known.join(best, "_n", "left").select("nome", "categoria")
 
 
 def top_items(items: DataFrame, n: int = 20, order: str = "seq") -> DataFrame:

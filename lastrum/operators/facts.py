@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lastrum.functions.pricing import confidence, listing_link
+from lastrum.operators import paging
 
 SORT_KEYS = ("data", "preco")
 KINDS = ("material", "servico", "obra")
@@ -89,9 +90,7 @@ def since_months(column: str, as_of: date, months: int) -> Column:
 
 def page(df: DataFrame, number: int, size: int, by: str = "data", descending: bool = True, key: str = "item_id") -> DataFrame:
     """One page, sorted by date or price with nulls last, then by key. An unknown sort key means the date."""
-    column = F.col(by if by in SORT_KEYS else "data")
-    order = column.desc_nulls_last() if descending else column.asc_nulls_last()
-    return df.orderBy(order, F.col(key)).offset((number - 1) * size).limit(size)
+    return paging.page(df, number, size, by if by in SORT_KEYS else "data", descending, key, paging.MOST)
 
 
 def page_count(df: DataFrame, size: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lastrum.functions import pricing
 from lastrum.functions.numbers import fixed
-from lastrum.operators import analytics, facts, inflation, stats, usage
+from lastrum.operators import analytics, facts, inflation, paging, stats, usage
 from lastrum.plans.domain import PRICES, UNIFIED, branches, prices, read
 from lastrum.plans.registry import Registry
 
@@ -50,6 +50,12 @@ def q_price_listing_page(spark, sf_dir):
     return page.select("item_id", "uf", "data", "categoria", "descricao", "preco", "confianca", "link")
 
 
+@query(f"WITH {UNIFIED} SELECT item_id, uf, data, preco FROM unified ORDER BY data DESC NULLS LAST, item_id LIMIT 50 OFFSET 9950")
+def q_price_deep_page(spark, sf_dir):
+    """Page 200 of all prices by date: the range that holds it is found by histograms, and only that is sorted."""
+    return paging.page(unified(spark, sf_dir).select("item_id", "uf", "data", "preco"), 200, 50, "data", most=2000)
+
+
 @query(f"WITH {UNIFIED} SELECT count(*) AS total, CAST(greatest(1, ceil(count(*) / 20)) AS BIGINT) AS total_pages FROM unified WHERE {_LISTED}")
 def q_price_count(spark, sf_dir):
     return facts.page_count(listed(spark, sf_dir), 20)
