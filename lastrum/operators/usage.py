@@ -104,3 +104,21 @@ def feedback_report(feedback: DataFrame, kind: str = "tipo", grade: str = "nota"
 
 def quarantined(feedback: DataFrame, grade: str = "nota") -> DataFrame:
     return feedback.where(~F.coalesce(F.col(grade).between(1, 5), F.lit(False)))
+
+
+COUNTERS = "chave long, mes string, plano string, desde timestamp_ntz, n long"
+
+
+def counted(old: DataFrame, new: DataFrame) -> DataFrame:
+    """COUNTERS after the events new(chave, ts, plano): an event without a plan is a use of its month, one with a plan changes it and sets the
+    month's count to 0. Batches come in order of time; uses at or before a change of plan that is known don't count."""
+    events = new.withColumn("mes", F.date_format("ts", "yyyy-MM"))
+    changed = F.col("plano").isNotNull()
+    switched = events.where(changed).groupBy("chave", "mes").agg(F.max_by("plano", F.struct("ts", "plano")).alias("_plano"), F.max("ts").alias("_ts"))
+    # a month that only had uses so far has the plan null
+    state = old.select("chave", "mes", F.col("plano").alias("_was"), F.col("desde").alias("_desde"), F.col("n").alias("_n"))
+    known = state.join(switched, ["chave", "mes"], "full").select("chave", "mes", F.coalesce("_plano", "_was").alias("_p"), F.coalesce("_ts", "_desde").alias("_since"), F.when(F.col("_ts").isNull(), F.col("_n")).otherwise(0).alias("_kept"))
+    uses = events.where(~changed).join(known.select("chave", "mes", "_since"), ["chave", "mes"], "left").where(F.col("_since").isNull() | (F.col("ts") > F.col("_since")))
+    uses = uses.groupBy("chave", "mes").agg(F.count("*").alias("_uses"))
+    out = known.join(uses, ["chave", "mes"], "full")
+    return out.select("chave", "mes", F.col("_p").alias("plano"), F.col("_since").alias("desde"), (F.coalesce("_kept", F.lit(0)) + F.coalesce("_uses", F.lit(0))).cast("long").alias("n"))

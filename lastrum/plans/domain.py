@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lastrum.operators.tables import shared_dir
-
 # Descriptions and units that the text rules are applied to; each part gets one by its number.
 DESCRIPTIONS = (
     "Papel A4 75g branco, conforme edital; pacote com 500 folhas",

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from lastrum.functions import pricing, rules, text
 from lastrum.functions.numbers import fixed
 from lastrum.operators import grams, quality, ranked, search
+from lastrum.operators.tables import new_path
 from lastrum.plans.domain import PARTS, PRICES, described_parts, prices, quoted, read
 from lastrum.plans.price_queries import rounded
 from lastrum.plans.registry import Registry
+from lastrum.sources.stored import StoredTable
 
 registry = Registry()
 query = registry.query
@@ -251,6 +253,16 @@ def q_upsert_latest(spark, sf_dir):
     return quality.upserted(old, new, "chave", "versao")
 
 
+@query("SELECT coalesce(s_suppkey, c_custkey) AS chave, coalesce(s_name, c_name) AS nome, CAST(CASE WHEN s_suppkey IS NULL THEN 0 ELSE 1 END AS INT) AS versao FROM customer FULL JOIN supplier ON c_custkey = s_suppkey")
+def q_stored_upsert(spark, sf_dir):
+    """The same upsert into a stored table, of which the second batch rewrites the buckets of its keys only."""
+    rows = lambda name, key, text, version: read(spark, sf_dir, name).select(F.col(key).alias("chave"), F.col(text).alias("nome"), F.lit(version).alias("versao"))
+    table = StoredTable(spark, new_path(spark, "buyers"), "chave long, nome string, versao int", ["chave"])
+    for batch, new in enumerate((rows("customer", "c_custkey", "c_name", 0), rows("supplier", "s_suppkey", "s_name", 1))):
+        table.merge(batch, new, lambda old, new: quality.upserted(old, new, "chave", "versao"))
+    return table.read()
+
+
 @query("SELECT s_suppkey AS chave, s_name AS nome FROM supplier UNION ALL SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = c_custkey)")
 def q_insert_absent(spark, sf_dir):
     old = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("chave"), F.col("s_name").alias("nome"))

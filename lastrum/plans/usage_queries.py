@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from lastrum.functions.numbers import fixed
 from lastrum.operators import usage
-from lastrum.plans.domain import read, shared_dir
+from lastrum.operators.tables import new_path, shared_dir
+from lastrum.plans.domain import read
 from lastrum.plans.registry import Registry
+from lastrum.sources.stored import StoredTable
 from lastrum.streaming import jobs
 
 registry = Registry()
@@ -43,6 +45,23 @@ def q_usage_metering(spark, sf_dir):
     return usage.metering(_events(spark, sf_dir).withColumn("plano", plan), spark.createDataFrame(PLANS, "plano string, limite int"))
 
 
+_BOUGHT = "CASE WHEN event_type = 'purchase' THEN 'plan ' || CAST(event_id % 3 AS VARCHAR) END"
+
+
+@query(f"""WITH e AS (SELECT user_id AS chave, ts, strftime(ts, '%Y-%m') AS mes, {_BOUGHT} AS plano FROM events),
+    c AS (SELECT chave, mes, max(ts) FILTER (plano IS NOT NULL) AS desde, arg_max(plano, ts) FILTER (plano IS NOT NULL) AS plano FROM e GROUP BY 1, 2)
+    SELECT c.chave, c.mes, c.plano, c.desde, count(*) FILTER (e.plano IS NULL AND (c.desde IS NULL OR e.ts > c.desde)) AS n FROM c JOIN e USING (chave, mes) GROUP BY ALL""")
+def q_usage_counters(spark, sf_dir):
+    """Monthly counters of a stored table after the events came in three batches, of which the second came twice."""
+    plan = F.when(F.col("event_type") == "purchase", F.concat(F.lit("plan "), (F.col("event_id") % 3).cast("string")))
+    events = _events(spark, sf_dir).select(F.col("user_id").alias("chave"), "ts", plan.alias("plano"))
+    table = StoredTable(spark, new_path(spark, "counters"), usage.COUNTERS, ["chave"], buckets=16)
+    day = F.dayofmonth("ts")
+    for batch, part in ((0, day <= 10), (1, (day > 10) & (day <= 20)), (1, (day > 10) & (day <= 20)), (2, day > 20)):
+        table.merge(batch, events.where(part), usage.counted)
+    return table.read()
+
+
 LIMIT, SECONDS = 3, 172_800
 
 
