@@ -75,21 +75,30 @@ def items(raw: DataFrame) -> DataFrame:
     )
 
 
+#: Answers after which a call is made again: too many requests, and faults of the server.
+AGAIN = (429, 500, 502, 503, 504)
+
+
 def get_json(url: str, tries: int = 3, wait: Callable[[float], None] = time.sleep, open_url=urllib.request.urlopen, strict: bool = False):
-    """The decoded answer; None for no content and, unless strict, for an HTTP error, which is not tried again. Time-outs and broken connections
-    are, after 1, 2, 4 ... seconds; the last one is raised, and Spark then runs the task again."""
+    """The decoded answer; None for no content and, unless strict, for an HTTP error. Time-outs, broken connections and the answers in
+    AGAIN are tried again, after 1, 2, 4 ... seconds or as long as the answer asks; the last fault is raised, and Spark then runs the task
+    again."""
     for attempt in range(tries):
+        pause = 2.0**attempt
         try:
             with open_url(url, timeout=30) as answer:
                 return None if answer.status == 204 else json.loads(answer.read() or "null")
-        except urllib.error.HTTPError:
-            if strict:
-                raise
-            return None
+        except urllib.error.HTTPError as fault:
+            if fault.code not in AGAIN or attempt == tries - 1:
+                if strict:
+                    raise
+                return None
+            asked = (fault.headers or {}).get("Retry-After", "")
+            pause = max(pause, float(asked)) if asked.isdecimal() else pause
         except OSError:
             if attempt == tries - 1:
                 raise
-            wait(2.0**attempt)
+        wait(pause)
     return None
 
 
@@ -110,11 +119,18 @@ class ContractReader(DataSourceReader):
         return [PagePartition(s, p, min(pages, p + each - 1)) for s in states for p in range(1, pages + 1, each)]
 
     def read(self, partition: PagePartition) -> Iterator[tuple]:
-        page = partition.first
+        ask = lambda page: get_json(self.options["url"].format(state=partition.state, page=page, since=self.options.get("since", ""), until=self.options.get("until", "")), strict=True)
+        page, total = partition.first, None
         while partition.last is None or page <= partition.last:
-            url = self.options["url"].format(state=partition.state, page=page, since=self.options.get("since", ""), until=self.options.get("until", ""))
-            answer = get_json(url, strict=True) or {}
-            if page > (answer.get("totalPaginas") or 0):
+            answer = ask(page)
+            if answer is None:  # no content: past the end, or a page that is missing
+                if total is None and page > 1:
+                    total = (ask(1) or {}).get("totalPaginas")
+                if page <= (total or 0):
+                    raise OSError(f"page {page} of {partition.state} has no content, but there are {total}")
+                return
+            total = answer.get("totalPaginas") or 0
+            if page > total:
                 return
             for row in answer.get("data") or []:
                 yield partition.state, page, json.dumps(row, ensure_ascii=False)
