@@ -25,8 +25,8 @@ def _cell(value: str) -> Column:
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """(keys, _v, _c): how often each value occurs in its group. All statistics below come from these counts, so a query scans and
-    shuffles its rows once, however many of them it asks for."""
+    """(keys, _v, _c): how often each value occurs in its group. All statistics below come from these counts. A plan that reads them in
+    several branches computes them in each; a caller with many repeated values per group may save them first."""
     return df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
 
 
@@ -63,8 +63,13 @@ def values_at(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, C
 
 def medians(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Per group: n, mediana and dp (of a sample), unrounded."""
+    return medians_of(value_counts(df, keys, value), keys)
+
+
+def medians_of(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """medians() from value_counts()."""
     low, high = _middle(F.lit(1), F.col("n"))
-    found = _ranked(value_counts(df, keys, value), list(keys), {"_a": low, "_b": high})
+    found = _ranked(counts, list(keys), {"_a": low, "_b": high})
     return found.select(*keys, "n", ((F.col("_a") + F.col("_b")) / 2).alias("mediana"), F.when(F.col("n") > 1, F.sqrt(F.col("_squares") / (F.col("n") - 1))).alias("dp"))
 
 

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from lastrum.functions import pricing
 from lastrum.functions.numbers import fixed
-from lastrum.operators import analytics, facts, inflation, paging, stats, usage
+from lastrum.operators import analytics, cube, facts, inflation, paging, stats, usage
+from lastrum.operators.tables import new_path
 from lastrum.plans.domain import PRICES, UNIFIED, branches, prices, read
 from lastrum.plans.registry import Registry
+from lastrum.sources.stored import StoredTable
 
 registry = Registry()
 query = registry.query
@@ -192,12 +194,25 @@ def q_state_catalogue(spark, sf_dir):
     return analytics.state_catalogue([processed, facts.without(items, processed, "order_id")]).withColumn("n", F.col("n").cast("long"))
 
 
-@query(f"""WITH {PRICES} SELECT uf, municipio, descricao, count(*) AS qtd_referencias, round(avg(preco), 4) AS preco_medio, round(median(preco), 4) AS preco_mediano,
-    min(preco) AS preco_min, max(preco) AS preco_max, round(stddev_samp(preco), 4) AS desvio, max(data) AS data_ultima_ref FROM prices WHERE processado GROUP BY 1, 2, 3""")
+_CUBE = """count(*) AS qtd_referencias, round(avg(preco), 4) AS preco_medio, round(median(preco), 4) AS preco_mediano,
+    min(preco) AS preco_min, max(preco) AS preco_max, round(stddev_samp(preco), 4) AS desvio, max(data) AS data_ultima_ref"""
+
+
+@query(f"WITH {PRICES} SELECT uf, municipio, descricao, {_CUBE} FROM prices WHERE processado GROUP BY 1, 2, 3")
 def q_municipal_cube(spark, sf_dir):
     return analytics.municipal_cube(prices(spark, sf_dir).where("processado"))
 
 
+@query(f"WITH {PRICES} SELECT uf, municipio, descricao, {_CUBE} FROM prices GROUP BY 1, 2, 3")
+def q_cube_refresh(spark, sf_dir):
+    """The cube over all prices, kept as mergeable counts: the processed ones first, then a delta with the others."""
+    every = prices(spark, sf_dir)
+    table = StoredTable(spark, new_path(spark, "cube"), cube.STATE, list(cube.CELL))
+    for batch, delta in enumerate((every.where("processado"), every.where("NOT processado"))):
+        table.merge(batch, cube.state(delta), cube.merged)
+    return cube.presented(table.read())
+
+
 @query(f"WITH {UNIFIED} SELECT item_id, uf, data, descricao, preco FROM unified WHERE descricao ILIKE '%ring%' ORDER BY data DESC NULLS LAST, item_id LIMIT 500")
 def q_item_history(spark, sf_dir):
     return facts.history(unified(spark, sf_dir), "RING").select("item_id", "uf", "data", "descricao", "preco")
