@@ -58,7 +58,12 @@ def values_at(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, C
     """One row per group: keys, n and, for each name of ranks, the value at that rank (from 1, a column over n); null at rank null.
 
     Null values don't count; groups without any have no row."""
-    return _ranked(value_counts(df, keys, value), list(keys), ranks).drop("_avg", "_squares", "_min", "_max")
+    return values_of(value_counts(df, keys, value), keys, ranks)
+
+
+def values_of(counts: DataFrame, keys: Sequence[str], ranks: dict[str, Column]) -> DataFrame:
+    """values_at() from value_counts()."""
+    return _ranked(counts, list(keys), ranks).drop("_avg", "_squares", "_min", "_max")
 
 
 def medians(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -122,3 +122,15 @@ def q_stream_metrics(spark, sf_dir):
     job.awaitTermination()
     rows = spark.read.schema("inicio timestamp, event_type string, n long, media double, erros long").parquet(f"{out}/rows")
     return rows.select(F.col("inicio").cast("timestamp_ntz").alias("inicio"), "event_type", "n", fixed("media", 4).alias("media"), "erros")
+
+
+@query("""WITH m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS w FROM events),
+    g AS (SELECT date_trunc('hour', ts) AS inicio, event_type, list_sort(list(value)) AS v, count(value) AS n FROM events, m WHERE value IS NOT NULL AND date_trunc('hour', ts) + INTERVAL 1 HOUR <= w GROUP BY 1, 2)
+    SELECT inicio, event_type, n, v[n // 2 + 1] AS p50, v[least(CAST(floor(n * 0.95::DOUBLE) AS BIGINT) + 1, n)] AS p95 FROM g""")
+def q_stream_percentiles(spark, sf_dir):
+    """p50 and p95 of the windows that the watermark has closed, from a stream over the event files."""
+    base = new_path(spark, "stream_percentiles")
+    stream = spark.readStream.schema(_events(spark, sf_dir).schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    jobs.follow_latency(stream, f"{base}/rows", f"{base}/state").awaitTermination()
+    rows = spark.read.schema("inicio timestamp, event_type string, n long, p50 double, p95 double").parquet(f"{base}/rows/batch=*")
+    return rows.withColumn("inicio", F.col("inicio").cast("timestamp_ntz"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lastrum.operators.stats import values_of
 from lastrum.sources.landing import PAGES, contracts
 
 
@@ -18,6 +19,31 @@ def request_metrics(events: DataFrame, every: str = "1 hour", late: str = "10 mi
     return stream.groupBy(F.window("ts", every).alias("w"), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("media"), F.count_if(F.col("event_type") == "error").alias("erros")).select(F.col("w.start").alias("inicio"), "event_type", "n", "media", "erros")
 
 
+def latency_counts(events: DataFrame, every: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """(inicio, event_type, _v, _c): how often each value occurs in each window and kind. State is one count for each value; it goes when
+    the watermark passes the window, and all counts of a window come out in the same batch."""
+    stream = events.where("value IS NOT NULL").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    counted = stream.groupBy(F.window("ts", every).alias("w"), "event_type", F.col("value").cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    return counted.select(F.col("w.start").alias("inicio"), "event_type", "_v", "_c")
+
+
+def latency_percentiles(counts: DataFrame) -> DataFrame:
+    """Per closed window and kind: n, p50 and p95, exact, from latency_counts()."""
+    n = F.col("n")
+    keys = ["inicio", "event_type"]
+    return values_of(counts, keys, {"p50": F.floor(n / 2) + 1, "p95": F.least(F.floor(n * 0.95) + 1, n)}).select(*keys, "n", "p50", "p95")
+
+
+def follow_latency(events: DataFrame, out: str, state: str, every: str = "1 hour", late: str = "10 minutes"):
+    """Runs over what there is: percentiles of the windows that close are written to a folder for each batch, which a rerun of the
+    batch overwrites."""
+
+    def closed(counts: DataFrame, batch: int) -> None:
+        latency_percentiles(counts).write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    return latency_counts(events, every, late).writeStream.foreachBatch(closed).option("checkpointLocation", state).trigger(availableNow=True).start()
+
+
 LIMITED = "key string, ts timestamp, n_janela long, reset_em timestamp, permitido boolean"
 
 
