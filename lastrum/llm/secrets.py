@@ -45,7 +45,9 @@ RUNS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqrs
 _NEXT = {(a, b) for run in RUNS for a, b in zip(run, run[1:])} | {(b, a) for run in RUNS for a, b in zip(run, run[1:])}
 _LEET = str.maketrans("013457@$!", "oieastasi")
 _PROSE = re.compile(r"\b[^\W\d_]{3,40}\b")
-_DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
+_YEAR, _MONTH, _DAY, _SEP = r"(?:19|20)\d\d", r"(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12]\d|3[01])", "[-/._]?"
+#: Several may begin at one place, and each is a part of its own.
+_DATES = tuple(re.compile(x, re.A) for x in (_YEAR + _SEP + _MONTH + _SEP + _DAY, _DAY + _SEP + _MONTH + _SEP + _YEAR, _YEAR))
 #: log10 of guesses: a date of 150 years, a year, the start of a walk, each of its steps, and the choice of another part.
 DATE_COST, YEAR_COST, WALK_COST, STEP_COST, PART_COST = log10(365 * 150), log10(150), log10(40), log10(1.2), log10(2)
 
@@ -114,9 +116,9 @@ def coster(words: Iterable[str] = ()) -> Callable[..., float]:
         for j in range(1, n + 1):
             i = j - 1
             # parts that begin at i: all costs of best[i] are known by now
-            dates = _DATE.match(value, i)
-            if dates:
-                best[dates.end()] = min(best[dates.end()], best[i] + PART_COST + (YEAR_COST if dates.end() - i == 4 else DATE_COST))
+            for form in _DATES if value[i].isdigit() else ():
+                if date := form.match(value, i):
+                    best[date.end()] = min(best[date.end()], best[i] + PART_COST + (YEAR_COST if date.end() - i == 4 else DATE_COST))
             for k in range(i + 3, min(n, i + longest) + 1):
                 rank = ranks.get(plain[i:k])
                 if rank:

@@ -11,6 +11,20 @@ from lastrum.llm.secrets import DATE_COST, PART_COST, STEP_COST, WALK_COST, YEAR
 WORDS = ["house", "river", "aba", "qwe"]
 
 
+def date_cost(part):
+    """By taking the digits one field after the other; None if the part is no date."""
+    for form in ("ymd", "dmy", "y"):
+        rest, ok = part, True
+        for k, field in enumerate(form):
+            rest = rest[1:] if k and rest[:1] in tuple("-/._") else rest
+            size, low, high = {"y": (4, 1900, 2099), "m": (2, 1, 12), "d": (2, 1, 31)}[field]
+            digits, rest = rest[:size], rest[size:]
+            ok = ok and len(digits) == size and all(c in "0123456789" for c in digits) and low <= int(digits) <= high
+        if ok and not rest:
+            return YEAR_COST if form == "y" else DATE_COST
+    return None
+
+
 def brute(value):
     """By trying every part between every two places."""
     ranks = {w: i + 1 for i, w in enumerate(WORDS)}
@@ -26,8 +40,8 @@ def brute(value):
                 costs.append(best[i] + secrets._brute(part))
             if j - i >= 3 and plain[i:j] in ranks:
                 costs.append(best[i] + secrets.word_cost(part, low[i:j], plain[i:j], ranks[plain[i:j]]))
-            if (m := secrets._DATE.match(value, i)) and m.end() == j:
-                costs.append(best[i] + PART_COST + (YEAR_COST if j - i == 4 else DATE_COST))
+            if date := date_cost(part):
+                costs.append(best[i] + PART_COST + date)
             if j - i >= 3 and all(x in secrets._NEXT for x in zip(low[i:j], low[i + 1 : j])):
                 costs.append(best[i] + PART_COST + WALK_COST + STEP_COST * (j - i))
             if low[i:j] in low[: j - 1]:
@@ -48,6 +62,15 @@ def test_least_over_all_segmentations(letters):
             assert (cost(value, enough) >= enough - 1e-9) == (wanted >= enough - 1e-9), value
 
 
+def test_dates_in_all_lengths():
+    rnd, cost = random.Random("dates"), coster(WORDS)
+    parts = ["2024", "20240101", "01012020", "1999", "31.12.1999", "2001-02-03", "0", "12", "19", "20", "-", "changeme", "river"]
+    for _ in range(2000):
+        value = "".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 5)))
+        assert cost(value) == pytest.approx(brute(value)), value
+    assert cost("01012020changeme20240101") == pytest.approx(brute("01012020changeme20240101")) and cost("01012020changeme20240101") < 10.9
+
+
 def test_walks_and_repeats_of_any_place_and_length():
     cost = secrets.guess_cost
     assert cost("whatevertyuio") < 5
