@@ -79,7 +79,7 @@ def test_no_documents(no_docs):
     assert manifest.manifest(no_docs).count() == 0
 
 
-@pytest.mark.parametrize(("ids", "limits"), [("dense", {}), ("dense", {"bits": 2, "most": 3}), ("wide", {"bits": 3, "most": 5}), ("hot", {"bits": 4, "most": 7})])
+@pytest.mark.parametrize(("ids", "limits"), [("dense", {"bits": 4, "most": 40}), ("wide", {"bits": 6, "most": 60}), ("hot", {"bits": 8, "most": 60})])
 def test_trees(spark, ids, limits):
     rng = random.Random(ids)
     made = {"dense": lambda k: k, "wide": lambda k: rng.choice((-1, 1)) * rng.getrandbits(rng.randrange(1, 64)), "hot": lambda k: rng.choice((7, 7, None, k))}[ids]
