@@ -29,6 +29,14 @@ def unified(processed: DataFrame, items: DataFrame, key: str = "order_id") -> Da
     return processed.withColumn("fonte", F.lit("A")).unionByName(rest.withColumn("fonte", F.lit("B")))
 
 
+def unified_by(df: DataFrame, source: Column, sources: DataFrame, key: str = "order_id") -> DataFrame:
+    """unified() of one frame whose rows are processed sources where a column holds. sources has the keys of the processed ones; it
+    may be a narrow scan, so that the rows themselves are read once and filters of the listing reach them before this join."""
+    keys = sources.select(key).distinct().withColumn("_taken", F.lit(True))
+    kept = df.withColumn("fonte", F.when(source, "A").otherwise("B")).join(keys, key, "left").where("fonte = 'A' OR _taken IS NULL").drop("_taken")
+    return kept.withColumns({"categoria": F.when(F.col("fonte") == "A", F.col("categoria")), "score": F.when(F.col("fonte") == "A", F.col("score")).otherwise(UNPROCESSED_SCORE)})
+
+
 def contains(column: Column | str, text: str) -> Column:
     return (F.col(column) if isinstance(column, str) else column).ilike(f"%{text}%")
 

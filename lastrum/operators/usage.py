@@ -54,36 +54,43 @@ def metering(events: DataFrame, plans: DataFrame, user: str = "user_id", ts: str
     return out.withColumns({"percentual": fixed(F.col("consultas") / F.col("limite") * 100, 1), "permitido": F.col("consultas") < F.col("limite")})
 
 
-def rate_limited(requests: DataFrame, key: str, ts: str, order: str, limit: int, seconds: float) -> DataFrame:
+def rate_limited(requests: DataFrame, key: str, ts: str, order: str, limit: int, seconds: float, state: DataFrame | None = None) -> DataFrame:
     """(key, order, ts, n_janela, reset_em, permitido): each request's number in its window, and when that ends; null where ts is.
 
     A window begins with the first request after the last window, so requests are folded in order: those of a key are sorted in
-    one partition and read as a stream, of which only the last key, count and end are held.
+    one partition and read as a stream, of which only the last key, count and end are held. state(key, n, ate), a row for each key
+    at most, is the window that a key is in before its first request.
     """
     span = round(seconds * 1_000_000)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, count, reset = object(), 0, 0
+        micros = lambda x: x.cast(pa.timestamp("us", x.type.tz)).cast(pa.int64()).to_pylist()
         for batch in batches:
             times = batch.column(ts)
-            counts, resets = [], []
-            for k, t in zip(batch.column(key).to_pylist(), times.cast(pa.timestamp("us", times.type.tz)).cast(pa.int64()).to_pylist(), strict=True):
-                if t is None:
-                    counts.append(None)
-                    resets.append(None)
-                    continue
-                if k != last or t >= reset:
-                    last, count, reset = k, 0, t + span
-                count += 1
-                counts.append(count)
-                resets.append(reset)
+            counts, resets, asked = [], [], []
+            for k, t, n, end in zip(batch.column(key).to_pylist(), micros(times), batch.column("_n").to_pylist(), micros(batch.column("_ate")), strict=True):
+                asked.append(n is None)
+                if n is not None:
+                    last, count, reset = k, n, end
+                elif t is not None:
+                    if k != last or t >= reset:
+                        last, count, reset = k, 0, t + span
+                    count += 1
+                counts.append(None if t is None else count)
+                resets.append(None if t is None else reset)
             ends = pa.array(resets, pa.int64()).cast(pa.timestamp("us", times.type.tz))
             allowed = pa.array([None if n is None else n <= limit for n in counts], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column(order), times, pa.array(counts, pa.int64()), ends, allowed], [key, order, ts, "n_janela", "reset_em", "permitido"])
+            out = pa.RecordBatch.from_arrays([batch.column(key), batch.column(order), times, pa.array(counts, pa.int64()), ends, allowed], [key, order, ts, "n_janela", "reset_em", "permitido"])
+            yield out.filter(pa.array(asked, pa.bool_()))
 
     kinds = dict(requests.dtypes)
     schema = f"{key} {kinds[key]}, {order} {kinds[order]}, {ts} {kinds[ts]}, n_janela bigint, reset_em {kinds[ts]}, permitido boolean"
-    return requests.select(key, order, ts).repartition(key).sortWithinPartitions(key, ts, order).mapInArrow(fold, schema)
+    null = lambda kind: F.lit(None).cast(kind)
+    rows = requests.select(key, order, ts, null("long").alias("_n"), null(kinds[ts]).alias("_ate"))
+    if state is not None:
+        rows = rows.unionAll(state.select(F.col(key).cast(kinds[key]), null(kinds[order]), null(kinds[ts]), F.col("n").cast("long"), F.col("ate").cast(kinds[ts])))
+    return rows.repartition(key).sortWithinPartitions(key, F.col("_n").asc_nulls_last(), ts, order).mapInArrow(fold, schema)
 
 
 def requests_per_day(events: DataFrame, first: str, last: str, ts: str = "ts") -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lastrum.operators import facts
+
 # Descriptions and units that the text rules are applied to; each part gets one by its number.
 DESCRIPTIONS = (
     "Papel A4 75g branco, conforme edital; pacote com 500 folhas",
@@ -91,6 +93,15 @@ def branches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return every.where("processado AND NOT atipico").select(*COLUMNS), every.where("NOT processado").select(*COLUMNS)
 
 
+def unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The price fact in one scan of the items: the contracts with processed sources come from a narrow scan of their lines (every
+    line has its contract, buyer, state and part)."""
+    lines = read(spark, sf_dir, "lineitem").where((F.col("l_linestatus") == "F") & ~(F.col("l_discount") > 0.08))
+    rows = prices(spark, sf_dir).where("NOT processado OR NOT atipico")
+    rows = facts.unified_by(rows, F.col("processado"), lines.select(F.col("l_orderkey").alias("order_id")))
+    return rows.select(*COLUMNS, "fonte")
+
+
 def _pick(values: tuple[str, ...]) -> Column:
     return F.get(F.array(*map(F.lit, values)), F.pmod("p_partkey", F.lit(len(values))).cast("int"))
 

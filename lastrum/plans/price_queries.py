@@ -11,7 +11,7 @@ from lastrum.functions import pricing
 from lastrum.functions.numbers import fixed
 from lastrum.operators import analytics, cube, facts, inflation, paging, stats, usage
 from lastrum.operators.tables import new_path
-from lastrum.plans.domain import PRICES, UNIFIED, branches, prices, read
+from lastrum.plans.domain import PRICES, UNIFIED, branches, prices, read, unified
 from lastrum.plans.registry import Registry
 from lastrum.sources.stored import StoredTable
 
@@ -26,10 +26,6 @@ _LINK = """concat('https://portal.example/app/editais/', split_part(numero_contr
     CAST(CAST(split_part(split_part(numero_controle, '-', 3), '/', 1) AS INT) AS VARCHAR))"""
 
 
-def unified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.unified(*branches(spark, sf_dir))
-
-
 def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     tests = facts.predicates([f"nation_{i}" for i in (1, 2, 3, 4)], "a", date(1996, 1, 1), date(1999, 12, 31), 500.0, 5000.0, kind=" Material ")
     return facts.where(unified(spark, sf_dir), [*tests, *facts.valid(), facts.real_numbers()])

@@ -63,12 +63,13 @@ def q_usage_counters(spark, sf_dir):
 
 
 LIMIT, SECONDS = 3, 172_800
-
-
-@query(f"""WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+_LIMITED = f"""WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
     f AS (SELECT user_id, event_id, ts, k, CAST(1 AS BIGINT) AS n, ts + INTERVAL {SECONDS} SECOND AS reset FROM e WHERE k = 1
           UNION ALL SELECT e.user_id, e.event_id, e.ts, e.k, CASE WHEN e.ts >= f.reset THEN 1 ELSE f.n + 1 END, CASE WHEN e.ts >= f.reset THEN e.ts + INTERVAL {SECONDS} SECOND ELSE f.reset END FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
-    SELECT user_id, event_id, n AS n_janela, reset AS reset_em, n <= {LIMIT} AS permitido FROM f""")
+    SELECT user_id, event_id, n AS n_janela, reset AS reset_em, n <= {LIMIT} AS permitido FROM f"""
+
+
+@query(_LIMITED)
 def q_rate_limit(spark, sf_dir):
     return usage.rate_limited(_events(spark, sf_dir), "user_id", "ts", "event_id", LIMIT, SECONDS).drop("ts")
 
@@ -134,3 +135,15 @@ def q_stream_percentiles(spark, sf_dir):
     jobs.follow_latency(stream, f"{base}/rows", f"{base}/state").awaitTermination()
     rows = spark.read.schema("inicio timestamp, event_type string, n long, p50 double, p95 double").parquet(f"{base}/rows/batch=*")
     return rows.withColumn("inicio", F.col("inicio").cast("timestamp_ntz"))
+
+
+@query(_LIMITED)
+def q_stream_rate_limit(spark, sf_dir):
+    """q_rate_limit from a stream over the event files, with the windows of the keys in a stored table."""
+    base = new_path(spark, "stream_rate_limit")
+    events = spark.readStream.schema(_events(spark, sf_dir).schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    requests = events.select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts")
+    windows = StoredTable(spark, f"{base}/windows", jobs.WINDOWS, ["key"], buckets=16)
+    jobs.follow_rate_limit(requests, windows, f"{base}/rows", f"{base}/state", LIMIT, SECONDS).awaitTermination()
+    rows = spark.read.schema("key string, id long, ts timestamp, n_janela long, reset_em timestamp, permitido boolean").parquet(f"{base}/rows/batch=*")
+    return rows.select(F.col("key").cast("long").alias("user_id"), F.col("id").alias("event_id"), "n_janela", F.col("reset_em").cast("timestamp_ntz").alias("reset_em"), "permitido")

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lastrum.operators import usage
 from lastrum.operators.stats import values_of
 from lastrum.sources.landing import PAGES, contracts
+from lastrum.sources.stored import StoredTable
 
 
 def request_metrics(events: DataFrame, every: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -71,6 +74,42 @@ def rate_limit(requests: DataFrame, limit: int, seconds: float, late: str = "10
     return keyed.groupBy("key").applyInPandasWithState(run, LIMITED, "count long, reset long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+WINDOWS = "key string, n long, ate timestamp"
+
+
+def _of_keys(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """rows that share a key, null too, with keys (left_semi) or with none of them (left_anti)."""
+    keys = keys.select(F.col("key").alias("_key"))
+    return rows.join(keys, F.col("key").eqNullSafe(F.col("_key")), how)
+
+
+def follow_rate_limit(requests: DataFrame, windows: StoredTable, out: str, checkpoint: str, limit: int, seconds: float, late: float = 600, **trigger):
+    """rate_limit() over requests (key, ts, id) for keys of any size: the requests of a batch are sorted by Spark, which spills, and read as
+    a stream that holds one count; windows, a stored table of WINDOWS by key, carries them from batch to batch.
+
+    A batch is written to its own folder before windows changes, and windows names the last batch, so a batch that comes again is
+    either written anew from the same windows or left as it is. Of the buckets that a batch touches, windows that ended more than
+    late seconds before its newest request are dropped. Requests of a batch are taken in order of time, then id; batches as they come.
+    """
+
+    def run(rows: DataFrame, batch: int) -> None:
+        if batch <= windows.current()["batches"].get("", -1):
+            return
+        folder = f"{out}/batch={batch}"
+        rows = rows.select(F.col("key").cast("string").alias("key"), F.col("id"), F.col("ts").cast("timestamp").alias("ts"))
+        limited = usage.rate_limited(rows, "key", "ts", "id", limit, seconds, _of_keys(windows.read(), rows, "left_semi"))
+        limited.write.mode("overwrite").parquet(folder)
+        done = windows.spark.read.schema(limited.schema).parquet(folder).where("reset_em IS NOT NULL")
+        newest = done.agg(F.max("ts").alias("t")).first()["t"]
+        if newest is None:
+            return
+        ends = done.groupBy("key").agg(F.max(F.struct(F.col("reset_em").alias("ate"), F.col("n_janela").alias("n"))).alias("w")).select("key", "w.n", "w.ate")
+        limit_of_age = F.lit(newest - timedelta(seconds=late))
+        windows.merge(batch, ends, lambda old, new: _of_keys(old, new, "left_anti").unionByName(new).where(F.col("ate") > limit_of_age))
+
+    return requests.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def ingest_pages(spark, landed: str, out: str, checkpoint: str):
     """Takes up the JSON pages that have landed since the last run, as contracts by month, and stops when there are no more."""
     pages = spark.readStream.schema(PAGES).option("columnNameOfCorruptRecord", "_bad").option("multiLine", True).json(landed)
