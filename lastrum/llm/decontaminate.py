@@ -23,13 +23,14 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lastrum.llm.shared import save
+from lastrum.llm.shared import drop, save, small, unused
 from lastrum.llm.words import _power, mixed, slices
 
 Q = 8
@@ -245,11 +246,15 @@ class Index:
         return sorted([*found, *([] if first else self.short.hits(points, where))])
 
 
+def _searched(items: DataFrame, block_chars: int) -> tuple[DataFrame, int]:
+    """The items that are searched, and the number of blocks that they take."""
+    used = items.where(F.length("text") > 0).select(F.col("item_id").cast("long").alias("item_id"), "text")
+    return used, -(-(used.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars)
+
+
 def blocks(items: DataFrame, q: int = Q, error: float = ERROR, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> Iterator[Index]:
     """Indexes of the items(item_id, text), each of bounded size; the driver holds one at a time."""
-    used = items.where(F.length("text") > 0).select(F.col("item_id").cast("long").alias("item_id"), "text")
-    total = used.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-total // block_chars)
+    used, n = _searched(items, block_chars)
     for block in range(n):
         rows = [(r["item_id"], normal(r["text"])[0]) for r in used.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block).sort("item_id", "text").collect()]
         rows = [r for r in rows if len(r[1])]
@@ -258,7 +263,7 @@ def blocks(items: DataFrame, q: int = Q, error: float = ERROR, min_chars: int =
 
 
 def _passes(docs: DataFrame, items: DataFrame, step, options: tuple) -> Iterator[DataFrame]:
-    """step(docs or the frame before, broadcast index) for each block; but for the last, what it gives is written and the block freed."""
+    """step(broadcast index) for each block; but for the last, what it gives is written and the block freed."""
     held = out = None
     for index in blocks(items, *options):
         if held:
@@ -266,7 +271,7 @@ def _passes(docs: DataFrame, items: DataFrame, step, options: tuple) -> Iterator
             held.unpersist()
             yield out
         held = docs.sparkSession.sparkContext.broadcast(index)
-        out = step(out, held)
+        out = step(held)
     if held:
         yield out
 
@@ -276,7 +281,7 @@ def find(docs: DataFrame, items: DataFrame, q: int = Q, error: float = ERROR, mi
     schema = "doc_id long, item_id long, start long, end long, edits long"
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-    def step(_, shared) -> DataFrame:
+    def step(shared) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
                 rows = [(d, *hit) for d, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) if text for hit in shared.value.hits(text)]
@@ -292,16 +297,36 @@ def find(docs: DataFrame, items: DataFrame, q: int = Q, error: float = ERROR, mi
 
 
 def clean(docs: DataFrame, items: DataFrame, q: int = Q, error: float = ERROR, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """docs without the documents that hold a benchmark item; each row is judged by its own text, and nothing is shuffled."""
+    """docs without the documents that hold a benchmark item; each row is judged by its own text.
 
-    def step(left: DataFrame | None, shared) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches):
-                yield batch.filter(pa.array([not (text and shared.value.hits(text, first=True)) for text in batch.column("text").to_pylist()], pa.bool_()))
+    Items of one block filter the documents where they are read, and nothing is shuffled. With more blocks, each pass writes the
+    hashes of the texts that hold an item of its block, and one anti-join with all of them leaves the rest: documents are never copied."""
+    options = (q, error, min_chars, block_chars)
+    if _searched(items, block_chars)[1] < 2:
 
-        return (docs if left is None else left).mapInArrow(run, docs.schema)
+        def keep(shared) -> DataFrame:
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in slices(batches):
+                    yield batch.filter(pa.array([not (text and shared.value.hits(text, first=True)) for text in batch.column("text").to_pylist()], pa.bool_()))
 
-    out = docs
-    for out in _passes(docs, items, step, (q, error, min_chars, block_chars)):
-        pass
-    return out
+            return docs.mapInArrow(run, docs.schema)
+
+        return next(_passes(docs, items, keep, options), docs)
+
+    texts = docs.where(F.length("text") > 0).select(F.sha2("text", 256).alias("hash"), "text")
+
+    def hit(shared) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                found = pa.array([bool(shared.value.hits(text, first=True)) for text in batch.column("text").to_pylist()], pa.bool_())
+                yield batch.select(["hash"]).filter(found)
+
+        return texts.mapInArrow(run, "hash string").distinct()
+
+    passes = list(_passes(docs, items, hit, options))
+    if not passes:
+        return docs
+    own = unused(docs, "text_hash")
+    every = save(reduce(DataFrame.unionAll, passes).distinct().withColumnRenamed("hash", own), "hits")
+    drop(*passes[:-1])
+    return docs.withColumn(own, F.sha2("text", 256)).join(small(every), own, "left_anti").drop(own)

@@ -92,3 +92,15 @@ def test_blocks_in_turn(spark):
     assert found(150) == found(1 << 20) and {r[0] for r in found(150)} == {0, 2, 4, 6, 8, 10}
     kept = lambda size: sorted(r.doc_id for r in decontaminate.clean(docs, items, block_chars=size).collect())
     assert kept(150) == kept(1 << 20) and {99, 100} <= set(kept(150)) and not {0, 2, 10} & set(kept(150))
+
+
+def test_many_blocks_copy_no_documents(spark, monkeypatch):
+    items = spark.createDataFrame([(i, f"item number {i} speaks of the house by the river and of {i * i} boats") for i in range(12)], "item_id long, text string")
+    rows = [(i, f"before item number {i} speaks of the house by the river and of {i * i} boats after", i) for i in range(0, 20, 2)]
+    docs = spark.createDataFrame([*rows, *rows, (99, None, 1), (100, "clean", 2), (101, "", 3), (None, rows[0][1], 4)], "doc_id long, text string, text_hash long")
+    written = []
+    monkeypatch.setattr(decontaminate, "save", lambda df, name, real=decontaminate.save: written.append(df.columns) or real(df, name))
+    kept = decontaminate.clean(docs, items, block_chars=150)
+    assert len(written) >= 5 and all(len(c) == 1 and c != ["text"] for c in written)
+    assert kept.columns == docs.columns
+    assert sorted(tuple(r) for r in kept.collect()) == sorted(tuple(r) for r in decontaminate.clean(docs, items).collect())
