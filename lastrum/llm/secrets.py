@@ -32,7 +32,8 @@ VOCABULARY, LEAST_DOCS = 50_000, 3
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_CONTEXT = re.compile(r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api_?key|access_?key|private_?key|credential|auth)[\"']?\s*(?:[:=]|=>|:=)\s*(?:\"([^\"\n]{6,})\"|'([^'\n]{6,})'|([^\s\"'<>,;]{6,}))", re.I | re.A)
+#: A character costs 2 at most (_brute), so a value of fewer than 4 stays below LEAST_COST.
+_CONTEXT = re.compile(r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api_?key|access_?key|private_?key|credential|auth)[\"']?\s*(?:[:=]|=>|:=)\s*(?:\"([^\"\n]{4,})\"|'([^'\n]{4,})'|([^\s\"'<>,;]{4,}))", re.I | re.A)
 #: One of these is in each lower-cased text that has a context.
 _HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "auth")
 

@@ -14,3 +14,8 @@ def test_words_of_the_documents_are_cheap(spark):
 def test_vocabulary(spark):
     docs = spark.createDataFrame([("b b aaa bbb",), ("AAA bbb x9abc",), ("aaa ccc token=abcdefgh",), ("aaa abcdefgh",), (None,)], "text string")
     assert secrets.vocabulary(docs, least_docs=2) == ["aaa", "bbb"] and secrets.vocabulary(docs, 1, 1) == ["aaa"]
+
+
+def test_short_values_of_dear_characters():
+    assert secrets.spans('password: "éçüñø"') == [(11, 3, 16)] and secrets.spans("pwd=éçü") == [] and secrets.spans("pwd=Zk3v") == []
+    assert secrets.guess_cost("éçüñ") <= secrets.LEAST_COST and secrets.guess_cost("éçü") < secrets.LEAST_COST
