@@ -4,9 +4,14 @@ A small helper in the tasks cuts a page into blocks and measures them, in time l
 it stands in furniture (menus, forms, adverts, comments, hidden elements and the like) or is mostly links, good if it is long
 enough and rich in stop words, and else ambiguous. Second pass: an ambiguous block inherits the label of its nearest decided
 neighbour, counted in blocks outside furniture; of two as near, a heading takes that of the block after it, others that of the block before. In a
-page that marks an article, ambiguous blocks beside it are bad first, and those in it have their neighbours there. Where no
+page that marks an article, ambiguous blocks beside it are bad first, and those in it have their neighbours there; in any other,
+the page's beginning counts as a bad block to what stands before the first heading. Where no
 block is good by itself (all are short, or of another language), the ambiguous blocks of the article are, else all of them.
 
+Density overrules names: where classes, ids and roles leave no good block but headings in the article (in a page without one, in
+the page), and what they took for furniture holds good blocks with more text than is left, the names don't count there. Comments, hidden
+elements and furniture by its element stay bad.
+
 Furniture around an article doesn't make it bad (a form or a div named "has-sidebar" around the page's body, an aside that is
 never closed), but for hidden elements, comments, and menus, asides and footers that are closed. Furniture within a block
 (a span that is an advert, or hidden) is left out of it.
@@ -56,8 +61,8 @@ _LISTS = frozenset("li ul ol menu".split())
 #: Furniture that makes an article within it bad too, where the element is closed.
 _APART = frozenset("nav footer aside menu dialog select button head".split())
 _COMMENTS = ("comment", "reply", "replies", "disqus")
-#: Kinds of elements: no furniture, furniture that an article within it overrules, the same where it is not closed, and furniture that no article overrules.
-PLAIN, AROUND, CLOSED, ALWAYS = range(4)
+#: Kinds of elements: no furniture, furniture by a name alone, furniture that an article within it overrules, the same where it is not closed, and furniture that no article overrules.
+PLAIN, NAMED, AROUND, CLOSED, ALWAYS = range(5)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
 #: The rest of a tag, with ends in quotes skipped; possessive, so that a failure costs one pass.
@@ -82,7 +87,7 @@ def _kind(tag: str, attributes: str, in_landmark: bool, inline: bool = False) ->
             if not inline and value in ("navigation", "contentinfo", "complementary"):
                 kind = max(kind, CLOSED)
             elif named:
-                kind = max(kind, AROUND)
+                kind = max(kind, NAMED)
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*+:\s*+none", value)):
             return ALWAYS
     return kind
@@ -97,14 +102,14 @@ class Element:
     closed: bool = False
     #: Whether blocks in it are furniture; whether an article holds it. Known when the page has been read.
     hard: bool = False
-    soft: bool = False
+    soft: int = PLAIN
     in_article: bool = False
 
     def settle(self) -> None:
         up = self.parent
         self.hard = bool(up and up.hard) or self.kind == ALWAYS or (self.kind == CLOSED and self.closed)
         fresh = not (up and up.in_article) and self.tag in _LANDMARKS  # around the outermost article, else the innermost main, only hard furniture counts
-        self.soft = self.kind != PLAIN or bool(up and up.soft and not fresh)
+        self.soft = max(self.kind, up.soft if up and not fresh else PLAIN)
         self.in_article = self.tag == "article" or bool(up and up.in_article)
 
 
@@ -117,14 +122,19 @@ class Block:
     heading: bool
     furniture: bool
     landmark: bool
+    #: Furniture by names alone.
+    named: bool = False
     good: bool | None = field(default=None)
 
+    def dense(self) -> bool:
+        return len(self.text) >= GOOD and self.stops >= STOPS * self.words and self.linked <= LINKS * len(self.text)
+
 
 class Page:
     """Cuts one page into blocks; every step takes time in proportion to what it consumes."""
 
     def __init__(self, page: str) -> None:
-        self.found: list[tuple[Block, Element | None]] = []
+        self.found: list[tuple[Block, Element | None, int]] = []
         self.parts: list[str] = []
         self.open: list[Element] = []
         self.lists: list[int] = []  # places of the open list elements
@@ -137,15 +147,16 @@ class Page:
         self._end()
         for e in self.all:
             e.settle()
-        for block, e in self.found:
-            block.furniture = block.furniture or bool(e and (e.hard or e.soft))
+        for block, e, own in self.found:
+            kind = max(own, (ALWAYS if e.hard else e.soft) if e else PLAIN)
+            block.furniture, block.named = kind != PLAIN, kind == NAMED
 
     def _end(self) -> None:
         text = " ".join(html.unescape("".join(self.parts)).split())
         if text:
             words = _WORD.findall(text.lower())
             inside = self.open[-1] if self.open else None
-            self.found.append((Block(text, len(words), sum(w in STOP_WORDS for w in words), self.linked, self.starter in HEADINGS, self.own != PLAIN, bool(inside and inside.landmark)), inside))
+            self.found.append((Block(text, len(words), sum(w in STOP_WORDS for w in words), self.linked, self.starter in HEADINGS, False, bool(inside and inside.landmark)), inside, self.own))
         self.parts.clear()
         self.linked = self.links = self.hidden = 0
         self.own = PLAIN
@@ -260,11 +271,16 @@ class Page:
 
 def classify(page: str) -> list[Block]:
     """The blocks of a page in order, each good or not."""
-    each = [b for b, _ in Page(page).found]
+    each = [b for b, *_ in Page(page).found]
+    scope = [b for b in each if b.landmark] or each
+    rest = [b for b in scope if not b.furniture]
+    if not any(b.dense() and not b.heading for b in rest) and sum(len(b.text) for b in scope if b.named and b.dense()) > sum(len(b.text) for b in rest):
+        for b in scope:  # the names took the article itself
+            b.furniture = b.furniture and not b.named
     for b in each:
         if b.furniture or b.linked > LINKS * len(b.text):
             b.good = False
-        elif len(b.text) >= GOOD and b.stops >= STOPS * b.words:
+        elif b.dense():
             b.good = True
     content = [b for b in each if not b.furniture]
     if not any(b.good for b in content):
@@ -276,8 +292,10 @@ def classify(page: str) -> list[Block]:
             if b.good is None and not b.landmark:
                 b.good = False
         groups = [[b for b in content if b.landmark], [b for b in content if not b.landmark]]
+        start = -(1 << 60)
     else:
         groups = [content]
+        start = -1
     for group in groups:
         labels = [b.good for b in group]
         after: list[tuple[int, bool]] = [(0, False)] * len(group)
@@ -285,11 +303,13 @@ def classify(page: str) -> list[Block]:
         for i in range(len(group) - 1, -1, -1):
             nearest = (i, labels[i]) if labels[i] is not None else nearest
             after[i] = nearest
-        nearest = (-(1 << 60), False)
+        nearest = (start, False)
         for i, b in enumerate(group):
             if labels[i] is not None:
                 nearest = (i, labels[i])
                 continue
+            if b.heading and nearest[0] < 0:
+                nearest = (-(1 << 60), False)  # what follows the first heading is no longer at the beginning
             back, ahead = i - nearest[0], after[i][0] - i
             b.good = after[i][1] if ahead < back or (ahead == back and b.heading) else nearest[1]
     return each
