@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lastrum.functions.numbers import fixed
 from lastrum.operators import grams
+from lastrum.operators.stats import medians
 from lastrum.operators.tables import save
 
 STATES = 27
@@ -166,10 +167,16 @@ def lookup_category(names: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def top_items(items: DataFrame, n: int = 20, order: str = "seq") -> DataFrame:
-    """The most frequent (categoria, descricao), with the median of the positive prices; ties by first occurrence."""
-    category = F.coalesce("categoria", F.lit("Sem Categoria"))
-    found = items.groupBy(category.alias("categoria"), "descricao").agg(F.count("*").alias("n"), F.median(F.when(F.col("preco") > 0, F.col("preco"))).alias("preco_mediano"), F.min(order).alias("_first"))
-    return found.orderBy(F.col("n").desc(), "_first").limit(n).drop("_first")
+    """The most frequent (categoria, descricao), with the median of the positive prices; ties by first occurrence. Medians are taken
+    of the rows of the n most frequent only, which no task gathers."""
+    named = items.select(F.coalesce("categoria", F.lit("Sem Categoria")).alias("categoria"), "descricao", "preco", F.col(order).alias("_order"))
+    found = named.groupBy("categoria", "descricao").agg(F.count("*").alias("n"), F.min("_order").alias("_first"))
+    top = found.orderBy(F.col("n").desc(), "_first").limit(n).withColumn("_item", F.monotonically_increasing_id())
+    top = save(top, "top_items")
+    same = named["categoria"].eqNullSafe(top["categoria"]) & named["descricao"].eqNullSafe(top["descricao"])
+    priced = named.where("preco > 0").join(F.broadcast(top), same).select("_item", "preco")  # n rows
+    middle = medians(priced, ["_item"], "preco").select("_item", F.col("mediana").alias("preco_mediano"))
+    return top.join(F.broadcast(middle), "_item", "left").orderBy(F.col("n").desc(), "_first").select("categoria", "descricao", "n", "preco_mediano")
 
 
 def coverage_of_samples(items: DataFrame, sample: Column) -> DataFrame:

@@ -59,6 +59,13 @@ def inserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.unionByName(new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti"))
 
 
+def filled(old: DataFrame, new: DataFrame, key: str, column: str) -> DataFrame:
+    """old with its null values of a column filled from new; values that are there stay, and keys that old doesn't have are ignored.
+    Of several values for a key the smallest counts, so a rerun gives the same."""
+    some = new.where(F.col(column).isNotNull()).groupBy(key).agg(F.min(column).alias("_filled"))
+    return old.join(some, key, "left").withColumn(column, F.coalesce(column, "_filled")).select(*old.columns)
+
+
 def refilled(items: DataFrame, results: DataFrame, key: str) -> DataFrame:
     """items after an update of awarded prices: an estimate is only filled where it is null, an award replaces the price."""
     new = results.select(key, F.col("valor_estimado").alias("_e"), F.col("valor_homologado").alias("_h"))

@@ -338,10 +338,12 @@ def q_outlier_calibration(spark, sf_dir):
     o AS (SELECT *, len(list_filter(v, lambda x: x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1))) AS n_outliers FROM h), p AS (SELECT *, round(n_outliers / n * 100, 2) AS pct_outliers FROM o)
     SELECT uf, descricao, n, n_outliers, pct_outliers, cv,
            CASE WHEN cv < CAST(0.15 AS DOUBLE) AND n >= 10 THEN 'EXCELENTE' WHEN cv < CAST(0.3 AS DOUBLE) AND n >= 5 THEN 'BOM' WHEN n >= 3 THEN 'REGULAR' ELSE 'INSUFICIENTE' END AS nivel,
-           CAST((n < 3)::INT + (n < 10)::INT + (pct_outliers > 20)::INT + coalesce((cv > 0.5)::INT, 0) AS INT) AS n_recomendacoes FROM p""")
+           CAST((n < 3)::INT + (n < 10)::INT + (pct_outliers > 20)::INT + coalesce((cv > 0.5)::INT, 0) AS INT) AS n_recomendacoes,
+           concat_ws('; ', CASE WHEN n < 3 THEN 'Fonte insuficiente para relatório' END, CASE WHEN n < 10 THEN 'Ampliar período de pesquisa' END,
+               CASE WHEN pct_outliers > 20 THEN 'Verificar outliers manualmente' END, CASE WHEN cv > 0.5 THEN 'Alta dispersão — verificar compatibilidade das amostras' END) AS recomendacoes FROM p""")
 def q_sample_quality(spark, sf_dir):
     out = stats.sample_quality(sources(spark, sf_dir), ["uf", "descricao"], "preco")
-    return out.select("uf", "descricao", "n", "n_outliers", "pct_outliers", "cv", "nivel", F.size("recomendacoes").alias("n_recomendacoes"))
+    return out.select("uf", "descricao", "n", "n_outliers", "pct_outliers", "cv", "nivel", F.size("recomendacoes").alias("n_recomendacoes"), F.array_join("recomendacoes", "; ").alias("recomendacoes"))
 
 
 # --- inflation; the series is moved back 300 months, to the years of the orders

@@ -263,6 +263,17 @@ def q_stored_upsert(spark, sf_dir):
     return table.read()
 
 
+@query(f"WITH {PARTS} SELECT p_partkey, CASE WHEN uf = 'BA' THEN 'servico' ELSE {_KIND['works']} END AS tipo FROM parts")
+def q_kind_backfill(spark, sf_dir):
+    """Kinds of a stored table where they are null: only the buckets that hold such rows are written, and kinds that are there stay."""
+    parts = described_parts(spark, sf_dir).select("p_partkey", "texto", F.when(F.col("uf") == "BA", "servico").alias("tipo"))
+    table = StoredTable(spark, new_path(spark, "kinds"), parts.schema, ["p_partkey"])
+    table.merge(0, parts, lambda old, new: quality.inserted(old, new, ["p_partkey"]))
+    missing = table.read().where("tipo IS NULL").select("p_partkey", text.object_kind("texto").alias("tipo"))
+    table.merge(1, missing, lambda old, new: quality.filled(old, new, "p_partkey", "tipo"))
+    return table.read().select("p_partkey", "tipo")
+
+
 @query("SELECT s_suppkey AS chave, s_name AS nome FROM supplier UNION ALL SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = c_custkey)")
 def q_insert_absent(spark, sf_dir):
     old = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("chave"), F.col("s_name").alias("nome"))
